@@ -1,12 +1,58 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline of five stages over ``documents``.
+
+Each stage works on all that the one before kept; all but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessara.llm.common import materialize, table
+from tessara.llm.decontamination import decontaminate
+from tessara.llm.jaccard import drop_near_duplicates
+from tessara.llm.line_dedup import dedup_lines
+from tessara.llm.mixing import mix_sources
+from tessara.llm.quality import score_quality
+
+#: Scores below this are rejected.
+QUALITY = 0.3
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: documents that it scores below QUALITY go."""
+    return score_quality(docs, table(spark, sf_dir, "labels"), "__score").where(F.col("__score") >= QUALITY).drop("__score")
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup: later copies of line runs of over 50 words go.
+
+    A document of which nothing is left goes too; n_chars is that of the text left.
+    """
+    kept = dedup_lines(docs).where((F.col("n_deleted") == 0) | (F.trim(F.regexp_replace("text", r"\s", " ")) != ""))
+    n_chars = F.when(F.col("n_deleted") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return kept.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: one document of each group stays."""
+    return drop_near_duplicates(docs)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: contaminated documents go, the others stay as they are."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing sources to target weights: how many words the mix takes from each document."""
+    return mix_sources(docs)
+
+
+STAGES = [("quality classifier", classify), ("line dedup", dedup), ("n-gram Jaccard join", near), ("benchmark decontamination", clean), ("mixing", mix)]
 
-STAGES = []
+#: Neighbours' votes and MinHash can't be put in SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
