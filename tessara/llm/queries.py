@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_chats
 from .common import table
 from .decontamination import scan_documents
 from .jaccard import near_duplicates
@@ -38,12 +39,17 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", "text")
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_mixing": op2_mixing,
     "op5_jaccard": op5_jaccard,
     "op7_quality": op7_quality,
     "op9_line_dedup": op9_line_dedup,
+    "op10_chat": op10_chat,
 }
 
 ORACLES: dict[str, str] = {
@@ -62,4 +68,11 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
     """,
+    # The tables hold no tool messages, so links, orphans and invalid calls are all 0 here.
+    "op10_chat": r"""
+        WITH m AS (SELECT conv_id, turn // 512 AS part, turn, role, text, '{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || '}' AS j FROM conversations)
+        SELECT conv_id, part::BIGINT AS part, count(*)::BIGINT AS n_messages, 0::BIGINT AS n_calls, 0::BIGINT AS n_linked, 0::BIGINT AS n_orphans, 0::BIGINT AS n_invalid,
+               '{"conv_id":' || conv_id || ',"messages":[' || string_agg(j, ',' ORDER BY turn, role, text) || '],"part":' || part || '}' AS json
+        FROM m GROUP BY conv_id, part
+    """,
 }
