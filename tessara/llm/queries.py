@@ -13,6 +13,7 @@ from .decontamination import scan_documents
 from .jaccard import near_duplicates
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
+from .pii import KINDS, count_kind, find_private, spans_text
 from .quality import score_quality
 
 
@@ -29,6 +30,12 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copy_id", "n_grams")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_private(table(spark, sf_dir, "documents"))
+    counts = [count_kind(F.col("base"), k).alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])]
+    return found.select("doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
@@ -47,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_mixing": op2_mixing,
     "op5_jaccard": op5_jaccard,
+    "op6_pii": op6_pii,
     "op7_quality": op7_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat": op10_chat,
