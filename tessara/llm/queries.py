@@ -11,6 +11,7 @@ from .chat import format_chats
 from .common import table
 from .decontamination import scan_documents
 from .jaccard import near_duplicates
+from .language_model import score_texts
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .pii import KINDS, count_kind, find_private, spans_text
@@ -38,10 +39,16 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7))
+    scored = score_texts(table(spark, sf_dir, "documents"), fold != 2)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", "text")
 
@@ -56,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard": op5_jaccard,
     "op6_pii": op6_pii,
     "op7_quality": op7_quality,
+    "op8_language_model": op8_language_model,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat": op10_chat,
 }
