@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import format_chats
 from .common import table
 from .decontamination import scan_documents
+from .embedding_dedup import embedding_duplicates
 from .jaccard import near_duplicates
 from .language_model import score_texts
 from .line_dedup import dedup_lines
@@ -27,6 +28,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copy_id", "n_grams")
 
@@ -60,6 +65,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_mixing": op2_mixing,
+    "op4_embeddings": op4_embeddings,
     "op5_jaccard": op5_jaccard,
     "op6_pii": op6_pii,
     "op7_quality": op7_quality,
@@ -69,6 +75,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    # The tables hold finite vectors of one length.
+    "op4_embeddings": r"""
+        WITH RECURSIVE u AS (SELECT vec_id, embedding::DOUBLE[] AS x, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+        e AS MATERIALIZED (SELECT a.vec_id AS p, b.vec_id AS q FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.x, b.x) / (a.n * b.n) >= 0.95e0),
+        reach AS (SELECT vec_id, vec_id AS q FROM u UNION SELECT r.vec_id, e.q FROM reach r JOIN e ON r.q = e.p),
+        c AS (SELECT vec_id, min(q) AS component_id FROM reach GROUP BY vec_id),
+        l AS (SELECT p AS vec_id, count(*) AS n FROM e GROUP BY p)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN l USING (vec_id)
+    """,
     "op1_decontamination": r"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
