@@ -11,6 +11,7 @@ from .chat import format_chats
 from .common import table
 from .decontamination import scan_documents
 from .embedding_dedup import embedding_duplicates
+from .html_extraction import extract_text
 from .jaccard import near_duplicates
 from .language_model import score_texts
 from .line_dedup import dedup_lines
@@ -28,6 +29,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -65,6 +70,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_mixing": op2_mixing,
+    "op3_html": op3_html,
     "op4_embeddings": op4_embeddings,
     "op5_jaccard": op5_jaccard,
     "op6_pii": op6_pii,
