@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 #: Rows up to which a small table may be broadcast.
 BROADCAST_ROWS = 100_000
+#: Rows, of 64 bits each, of the table that flagged() broadcasts.
+BITMAP_WORDS = 1 << 20
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
@@ -70,6 +72,24 @@ def join_small(left: DataFrame, small: DataFrame, on: list[str], salts: int = 64
     return left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).join(salted, [*on, "__salt"]).drop("__salt")
 
 
+def flagged(df: DataFrame, key: str, members: DataFrame, member_key: str) -> DataFrame:
+    """``df`` with ``__maybe``: false only where its ``key`` is none of the members'.
+
+    The members' 64-bit keys set bits of a table of BITMAP_WORDS rows, which
+    is all that is broadcast, however many members there are. Rows that are
+    surely no members so keep out of a shuffle.
+    """
+    def word(k):
+        return F.pmod(F.col(k), F.lit(BITMAP_WORDS))
+
+    def bit(k):
+        return F.expr(f"shiftleft(1L, cast(pmod(shiftright({k}, 30), 64) as int))")
+
+    words = members.select(word(member_key).alias("__word"), bit(member_key).alias("b")).groupBy("__word").agg(F.bit_or("b").alias("__bits"))
+    out = df.withColumn("__word", word(key)).join(F.broadcast(words), "__word", "left")
+    return out.withColumn("__maybe", F.coalesce(F.col("__bits").bitwiseAND(bit(key)) != 0, F.lit(False))).drop("__word", "__bits")
+
+
 def byte_class(wanted) -> np.ndarray:
     return np.array([bool(wanted(b)) for b in range(256)])
 

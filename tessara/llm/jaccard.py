@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, hashed_words, materialize, mix, slices, windows
+from .common import WORD_BYTES, flagged, hashed_words, materialize, mix, slices, windows
 from .components import Forest, components
 
 ROWS = 6
 #: Classes, and n-grams, of a block; a tile holds two blocks.
-BLOCK_CLASSES, BLOCK_GRAMS = 1024, 1_000_000
+BLOCK_CLASSES, BLOCK_GRAMS = 512, 1_000_000
 
 
 def bands_for(threshold: float, recall: float, rows: int = ROWS) -> int:
@@ -224,7 +224,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     groups = materialize(classes.select("v", "at", "copies", "n_grams").join(groups, "v"))
     shape = groups.groupBy("group").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_CLASSES, F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("n_blocks"))
     members = groups.join(shape, "group").select("v", "copies", "group", "n_blocks", F.pmod(F.xxhash64("v"), "n_blocks").cast("int").alias("block"), F.col("at.doc_id").alias("id"), F.col("at.text_key").alias("k"))
+    members = materialize(members)
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
+    texts = flagged(texts.withColumn("__key", F.xxhash64("doc_id", "text_key")), "__key", members.select(F.xxhash64("id", "k").alias("key")), "key").where("__maybe")
     texts = texts.join(members, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("v", "copies", "group", "n_blocks", "block", "text")
 
     def sets(batches):
@@ -262,12 +264,12 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, re
 
     Rows equal in doc_id and text count as one document; texts without words all stay.
     """
-    gone = near_duplicates(docs, n, threshold, recall)
-    keyed = docs.withColumn("__text_key", F.xxhash64("text"))
-    # The first of a class that comes several times is told from its repeats by a number.
-    out = gone.where(~F.col("first")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__k")).distinct()
-    kept = keyed.join(out, (F.col("__text_key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    again = gone.where((F.col("n_grams") > 0) & F.col("first")).groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__k")).count().where("count > 1").drop("count")
-    once = kept.join(again, (F.col("__text_key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "__text_key"])
-    rest = kept.join(again, (F.col("__text_key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    return rest.unionByName(once).drop("__text_key")
+    found = materialize(near_duplicates(docs, n, threshold, recall).where("n_grams > 0").select("doc_id", "text_key", "first"))
+    odd = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__k")).agg(F.first("first").alias("__first"), F.count(F.lit(1)).alias("n"))
+    odd = materialize(odd.where(~F.col("__first") | (F.col("n") > 1)).select("__id", "__k", "__first"))
+    keyed = docs.withColumn("__text_key", F.xxhash64("text")).withColumn("__key", F.xxhash64("doc_id", "__text_key"))
+    keyed = flagged(keyed, "__key", odd.select(F.xxhash64("__id", "__k").alias("key")), "key")
+    doubted = keyed.where("__maybe").join(odd, (F.col("__text_key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    once = doubted.where("__first").dropDuplicates(["doc_id", "__text_key"])
+    parts = [keyed.where("not __maybe"), doubted.where("__k is null"), once]
+    return parts[0].select(*docs.columns).unionByName(parts[1].select(*docs.columns)).unionByName(parts[2].select(*docs.columns))
