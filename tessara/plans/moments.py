@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import array_of
+from ..shipping import ship
 
 #: Up to so many features one aggregate of expressions is the fastest; above it, partial products in Arrow batches.
 NARROW = 8
@@ -70,6 +71,7 @@ def _wide(df: DataFrame, features: str | Sequence[str], target: str, centred: bo
 def scatter(rows: DataFrame, shift: np.ndarray) -> DataFrame:
     """(i, j, s): sums over all rows of the products of shifted components of the array ``x``."""
     size = len(shift)
+    ship(rows.sparkSession)
 
     def run(batches):
         total = np.zeros((size, size))
