@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
 from .common import LOWER_TABLE, WORD_BYTES, hashed_words, slices, windows
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -99,6 +100,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: fl
     """
     if _size(benchmark) > BROADCAST_WINDOWS:
         return _scan_by_join(docs, benchmark, n, share, key)
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(_window_set(benchmark, n))
     source = docs.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -178,6 +180,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: flo
         keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
         bad = _scan_by_join(keyed, benchmark, n, share, "__row").where("contaminated").select("__row").distinct()
         return keyed.join(bad, "__row", "left_anti").drop("__row")
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(_window_set(benchmark, n))
     least = round(1 / share)
 

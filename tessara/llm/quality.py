@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
+
 #: Largest number of labelled rows that the model is fitted on, of terms, and of dimensions.
 SAMPLE, TERMS, DIMENSIONS = 4000, 1000, 64
 NEIGHBOURS, POWER = 25, 8
@@ -130,6 +132,7 @@ def training_rows(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_terms: int = TERMS) -> LatentVoter:
     """The model of a bounded sample: at most ``sample`` rows and ``max_terms`` terms reach the driver."""
+    ship(docs.sparkSession)
     chosen = training_rows(labels, sample)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "__quality", "text")
 
