@@ -72,7 +72,7 @@ def mix_sources(
     share: float = 1.5,
     max_repeat: int = 2,
     block_words: int = 32,
-    shard_docs: int = 16384,
+    shard_docs: int = 2048,
     seed: int = 17,
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken.
