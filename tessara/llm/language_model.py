@@ -136,16 +136,16 @@ def _requests(chunks: DataFrame, shards: int) -> DataFrame:
     return chunks.select("chunk", "train", "offsets", "raw").mapInArrow(run, "chunk bigint, shard int, words binary, word_counts binary, pairs binary, pair_counts binary")
 
 
-def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of several lists and their counts over all, without those that count 0."""
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    every, n = np.concatenate(keys), np.concatenate(counts)
-    every, n = every[n > 0], n[n > 0]
+def _grouped(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of several ascending lists, and the place of each key of the lists among them."""
+    every = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
     order = np.argsort(every, kind="stable")
-    every, n = every[order], n[order].astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
-    return every[first], np.add.reduceat(n, first) if len(first) else n
+    every = every[order]
+    new = np.ones(len(every), bool)
+    new[1:] = every[1:] != every[:-1]
+    place = np.empty(len(every), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return every[new], place
 
 
 def _answers(requests: DataFrame, shards: int) -> DataFrame:
@@ -154,17 +154,23 @@ def _answers(requests: DataFrame, shards: int) -> DataFrame:
     def solved(shard, rows):
         words = [_unpack_keys(r[1]) for r in rows]
         pairs = [_unpack_keys(r[3]) for r in rows]
-        known, count = _added(words, [_unpack(r[2], len(w), np.uint32) for r, w in zip(rows, words)])
-        keys, n = _added(pairs, [_unpack(r[4], len(p), np.uint32) for r, p in zip(rows, pairs)])
+        n_words, n_pairs = [len(w) for w in words], [len(p) for p in pairs]
+        known, word = _grouped(words)
+        count = np.bincount(word, np.concatenate([_unpack(r[2], n, np.uint32) for r, n in zip(rows, n_words)]), len(known)).astype(np.int64)
+        del words
+        keys, pair = _grouped(pairs)
+        seen = np.bincount(pair, np.concatenate([_unpack(r[4], n, np.uint32) for r, n in zip(rows, n_pairs)]), len(keys)).astype(np.int64)
+        del pairs
         mask = np.uint64((1 << WORD_BITS) - 1)
-        trie = Trie(keys >> np.uint64(WORD_BITS), keys & mask, n, WORD_BITS)
-        del keys, n
-        for r, w, p in zip(rows, words, pairs):
-            place = np.searchsorted(known, w)
-            place[place == len(known)] = 0
-            got = np.where(known[place] == w, count[place], 0) if len(known) else np.zeros(len(w), np.int64)
-            yield r[0], shard, _pack(got.astype(np.uint64)), len(w), _pack(trie.codes_of(p >> np.uint64(WORD_BITS), p & mask)), len(p), 0, 0
-        yield -1, shard, b"", 0, b"", 0, int(count.sum()), len(known)
+        learnt = keys[seen > 0]
+        trie = Trie(learnt >> np.uint64(WORD_BITS), learnt & mask, seen[seen > 0], WORD_BITS)
+        # Every distinct key is looked up once, in order, for all chunks that ask for it.
+        code = trie.codes_of(keys >> np.uint64(WORD_BITS), keys & mask)
+        word_edge, pair_edge = np.cumsum([0, *n_words]), np.cumsum([0, *n_pairs])
+        for k, r in enumerate(rows):
+            w, p = word[word_edge[k] : word_edge[k + 1]], pair[pair_edge[k] : pair_edge[k + 1]]
+            yield r[0], shard, _pack(count[w].astype(np.uint64)), len(w), _pack(code[p]), len(p), 0, 0
+        yield -1, shard, b"", 0, b"", 0, int(count.sum()), int((count > 0).sum())
 
     def run(batches):
         def out(shard, rows):
@@ -183,7 +189,7 @@ def _answers(requests: DataFrame, shards: int) -> DataFrame:
         if held:
             yield out(at, held)
 
-    dealt = requests.repartition(shards, "shard").sortWithinPartitions("shard")
+    dealt = requests.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
     return dealt.mapInArrow(run, "chunk bigint, shard int, words binary, n_words bigint, pairs binary, n_pairs bigint, tokens bigint, types bigint")
 
 
