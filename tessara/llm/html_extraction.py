@@ -26,6 +26,8 @@ from .common import join_small, materialize
 SALTS = 16
 #: Longest group of siblings that is looked at for repetition.
 GROUP = 3
+#: Elements at either end of a deeply nested path.
+DEPTH = 60
 #: Pages that must agree before a slot's text counts as the host's own.
 CONSTANT_PAGES = 3
 
@@ -113,6 +115,15 @@ def label(name: str, attributes: str) -> str:
     return sign + ".".join([name, *words[:4]])
 
 
+def path_of(labels: list[str]) -> str:
+    """Labels from the root; one for a run of equal labels. Of more than 2 * DEPTH the plain ones between go."""
+    parts = [x for k, x in enumerate(labels) if not k or labels[k - 1] != x]
+    if len(parts) > 2 * DEPTH:
+        inner = [x for x in parts[DEPTH:-DEPTH] if x[0] in "+-*"]
+        parts = [*parts[:DEPTH], *dict.fromkeys(inner), *parts[-DEPTH:]]
+    return "/".join(parts)
+
+
 def blocks(page: str | None):
     """(path, text) of each run of text of one block element, in page order; text is decoded and trimmed."""
     stack: list[tuple[str, str]] = []
@@ -123,7 +134,7 @@ def blocks(page: str | None):
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
-                out.append(("/".join(x for _, x in stack), text))
+                out.append((path_of([x for _, x in stack]), text))
             held.clear()
 
     for kind, name, attributes in tag_stream(page or ""):
