@@ -18,6 +18,11 @@ from .common import join_small, materialize
 STEP = 2147483629
 
 
+def hashed(*columns: Column | str) -> Column:
+    """60 bits of an MD5 of the columns, which other SQL engines can compute too."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *columns)), 1, 15), 16, 10).cast("bigint")
+
+
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+``; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
@@ -88,15 +93,15 @@ def mix_sources(
     keyed = sized.withColumn("skey", F.concat(F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.lit("0")), F.coalesce("source", F.lit(""))))
     sources = keyed.groupBy("skey", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     sources = source_targets(sources, weights, share, max_repeat)
-    sources = sainte_lague(sources.withColumn("__one", F.lit(1)), ["__one"], ["skey"], "target", F.round(F.sum("target").over(Window.partitionBy("__one")) / block_words).cast("bigint"))
+    sources = sainte_lague(sources.withColumn("__one", F.lit(1)), ["__one"], ["skey"], "target", F.floor(F.sum("target").over(Window.partitionBy("__one")) / block_words + 0.5).cast("bigint"))
     sources = materialize(sources.select("skey", "source_size", "target", F.col("quota").alias("source_quota"), F.ceil(F.col("n_docs") / shard_docs).cast("int").alias("n_shards")))
-    rows = join_small(keyed, sources, ["skey"]).withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "size"))
+    rows = join_small(keyed, sources, ["skey"]).withColumn("order", hashed(F.lit(seed), "doc_id", "size"))
     rows = rows.withColumn("shard", F.pmod(F.shiftrightunsigned("order", 7), "n_shards").cast("int"))
     cells = rows.groupBy("skey", "shard").agg(F.sum("size").alias("words"), F.first("source_quota").alias("source_quota"))
     cells = sainte_lague(cells, ["skey"], ["shard"], "words", F.col("source_quota"))
-    n_blocks = F.greatest(F.lit(1), F.round(F.col("words") / block_words)).cast("bigint")
+    n_blocks = F.greatest(F.lit(1), F.floor(F.col("words") / block_words + 0.5)).cast("bigint")
     cells = cells.select("skey", "shard", "words", n_blocks.alias("blocks"), "quota")
-    cells = cells.withColumns({"quota": F.least("quota", max_repeat * F.col("blocks")), "turn": F.pmod(F.xxhash64(F.lit(seed), "skey", "shard"), "blocks")})
+    cells = cells.withColumns({"quota": F.least("quota", max_repeat * F.col("blocks")), "turn": F.pmod(hashed(F.lit(seed), "skey", "shard"), "blocks")})
     ahead = Window.partitionBy("skey", "shard").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(cells, ["skey", "shard"]).withColumn("begin", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
     rows = rows.withColumn("end", F.col("begin") + F.col("size"))
