@@ -136,3 +136,29 @@ def unigram(train, texts):
     count = Counter(w for t in train for w in [*tokens(t), None])
     n, v = sum(count.values()), len(count)
     return n, [(len(w), sum(count[x] > 0 for x in w), sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w)) for w in ([*tokens(t), None] for t in texts)]
+
+
+def disclosing_terms(docs, threshold=0.9, context=80):
+    """{row: {(start, end)}} of terms that tell an entity near them, by corpus counts."""
+    term = re.compile(r"[^\W\d_]{4,}")
+    joint, near, sides, n_c = Counter(), {}, [], Counter()
+    for row, text in enumerate(docs):
+        for kind, a, b in (s.split(":") for s in personal(text)):
+            a, b = int(a), int(b)
+            entity = kind, text[a:b].lower()
+            parts = (max(0, a - context), text[max(0, a - context) : a]), (b, text[b : b + context])
+            n_c[entity] += 1
+            for at, said in parts:
+                for m in term.finditer(said):
+                    t = m[0].lower()
+                    joint[entity, t] += 1
+                    near.setdefault((entity, t), set()).add((parts[0][1], parts[1][1]))
+                    sides.append((row, entity, t, at + m.start(), at + m.end()))
+    n_t = Counter(w for t in docs for w in term.findall((t or "").lower()))
+    n = sum(n_t.values())
+    out = {}
+    for row, entity, t, a, b in sides:
+        if len(near[entity, t]) > 1 and t in n_t and math.log(joint[entity, t] * n / (n_c[entity] * n_t[t])) >= threshold * math.log(n / n_c[entity]) - 1e-12:
+            if not any(int(x) < b and a < int(y) for _, x, y in (s.split(":") for s in personal(docs[row]))):
+                out.setdefault(row, set()).add((a, b))
+    return out

@@ -48,6 +48,15 @@ def test_terms_that_disclose(frame):
     assert [s.kind for s in find_private(lone).first().spans] == [0]
 
 
+def test_terms_match_brute_force(spark):
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()] * 1
+    docs += [f"zqx{i % 3} wqy lives at home.{i % 2}@mail.example and zqx{i % 3} calls 10.1.1.{i % 3}, so wqyzt{i % 2} does" for i in range(9)]
+    want = brute.disclosing_terms(docs)
+    found = find_private(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
+    got = {r.doc_id: {(s.start, s.end) for s in r.spans if s.kind == 4} for r in found.collect()}
+    assert {i: s for i, s in got.items() if s} == want and len(want) >= 9
+
+
 def test_sanitise(frame):
     df = disclosing(frame)
     clean = {r.doc_id: r.text for r in sanitise(df).collect()}
