@@ -23,6 +23,11 @@ def literal_array(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, not at each of its uses inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -36,9 +41,8 @@ def log_logistic(x: Column | str) -> Column:
 def softmax(x: Column | str) -> Column:
     """exp(x - max) over its sum, per row; an empty array stays empty."""
     x = _column(x).cast("array<double>")
-    powers = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    total = _sum(powers)
-    return F.transform(powers, lambda v: v / total)
+    powers = let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top)))
+    return let(powers, lambda p: let(_sum(p), lambda total: F.transform(p, lambda v: v / total)))
 
 
 def row_norms(x: Column | str, squared: bool = False) -> Column:

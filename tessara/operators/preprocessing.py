@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..base import Estimator, TransformerMixin
-from ..functions.vectors import array_of, norm
+from ..functions.vectors import array_of, let, norm
 from .features import Features
 
 #: Classes up to which the encoder broadcasts them.
@@ -146,5 +146,5 @@ class Normalizer(TransformerMixin, Estimator):
         size = norm(x, self.norm)
         size = F.when(size == 0, F.lit(1.0)).otherwise(size)
         if features.is_array or self.output:
-            return df.withColumn(self.output or self.columns, F.transform(x, lambda v: v / size))
+            return df.withColumn(self.output or self.columns, let(size, lambda s: F.transform(x, lambda v: v / s)))
         return df.withColumns({c: F.col(c).cast("double") / size for c in features.columns})
