@@ -30,12 +30,14 @@ def confusion_matrix(df: DataFrame, y: str, p: str, labels: Sequence[int] | None
     """
     counts = df.groupBy(F.col(y).cast("int").alias("actual"), F.col(p).cast("int").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
     if labels is None:
-        known = counts.select(F.explode(F.array("actual", "predicted")).alias("label")).where("label is not null").distinct()
+        # It keeps the counts and joins null-safely, so that all three uses share one scan and one exchange.
+        known = counts.select(F.explode(F.array("actual", "predicted")).alias("label"), "n").groupBy("label").agg(F.sum("n").alias("n")).where("label is not null and n > 0").select("label")
     else:
         known = df.sparkSession.createDataFrame([(int(v),) for v in labels], "label int").distinct()
     # The result has a row per pair of labels by definition; it is made of the labels, not of rows.
     cells = known.select(F.col("label").alias("actual")).crossJoin(known.select(F.col("label").alias("predicted")))
-    return cells.join(counts, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
+    c = counts.select(F.col("actual").alias("a"), F.col("predicted").alias("b"), "n")
+    return cells.join(c, F.col("actual").eqNullSafe(F.col("a")) & F.col("predicted").eqNullSafe(F.col("b")), "left").select("actual", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _per_class(df: DataFrame, y: str, p: str) -> DataFrame:

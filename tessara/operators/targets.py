@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,11 +45,12 @@ def check_classification_targets(df: DataFrame, y: str) -> None:
         raise ValueError("the target is continuous")
 
 
-def _balanced(df: DataFrame, y: str, n_classes: int) -> DataFrame:
+def _balanced(df: DataFrame, y: str, n_classes: int | None = None) -> DataFrame:
+    """(class, weight) from one aggregate; the window is over as many rows as there are classes."""
     counts = df.groupBy(F.col(y).alias("class")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    # One row, from one aggregate.
-    return counts.crossJoin(F.broadcast(total)).select("class", (F.col("total") / (F.lit(n_classes) * F.col("n"))).alias("weight"))
+    every = Window.partitionBy()
+    k = F.count("class").over(every) if n_classes is None else F.lit(n_classes)
+    return counts.select("class", (F.sum("n").over(every) / (k * F.col("n"))).alias("weight"))
 
 
 def compute_class_weight(weight: str | Mapping[int, float], classes: Sequence[int], df: DataFrame, y: str) -> DataFrame:
@@ -74,9 +75,8 @@ def compute_class_weight(weight: str | Mapping[int, float], classes: Sequence[in
 def compute_sample_weight(weight: str | Mapping[int, float], df: DataFrame, y: str) -> DataFrame:
     """``df`` with ``weight``, that of each row's class; classes are the distinct labels."""
     if weight == "balanced":
-        n = df.agg(F.count_distinct(y).alias("k")).first()["k"]
-        table = _balanced(df, y, n).withColumnRenamed("class", "__class")
-        # One row per class; rows keep their partitions when the classes are few enough for Spark to broadcast.
+        # One row per class: Spark broadcasts it when its measured size allows.
+        table = _balanced(df, y).withColumnRenamed("class", "__class")
         return df.join(table, F.col(y) == F.col("__class")).drop("__class")
     if isinstance(weight, str):
         raise ValueError("weight is 'balanced' or a mapping")

@@ -48,6 +48,12 @@ def test_scans_read_only_what_is_asked(spark):
     assert text.count("FileScan") == 1 and "l_comment" not in text and text.count("Exchange") == 1
 
 
+def test_confusion_scans_once(spark):
+    df = catalog.confusion(spark, FOLDER)
+    df.collect()
+    assert plan(df).partition("Initial Plan")[0].count("FileScan") == 1
+
+
 def test_projections_need_no_python(spark):
     for name in ("standard_scale", "softmax_rows", "label_encode", "kfold_shuffled", "confusion"):
         assert "Arrow" not in plan(catalog.QUERIES[name](spark, FOLDER)) and "Python" not in plan(catalog.QUERIES[name](spark, FOLDER))
