@@ -13,10 +13,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from itertools import islice
-from operator import eq
+from operator import and_, eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +26,7 @@ from ..shipping import ship
 
 #: Largest number of labelled rows that the model is fitted on, of terms, and of dimensions.
 SAMPLE, TERMS, DIMENSIONS = 4000, 1000, 64
-NEIGHBOURS, POWER = 25, 8
+NEIGHBOURS, POWER = 15, 16
 #: Texts are vectorised and compared in blocks of so many.
 BLOCK = 512
 _DIGITS = re.compile(r"\d+")
@@ -62,8 +63,10 @@ def terms_of(text: str | None) -> dict[str, float]:
     fine = exponent * 20
     for k in range(-1, 2):
         out[f"u{int(fine) + k}"] = 0.1 * (1 - abs(fine - int(fine) - 0.5 - k) / 2)
-    twice = sum(map(eq, words, islice(words, 1, None))) / n
-    out[f"r{min(10, int(40 * twice))}"] = 0.3
+    twice = list(map(eq, words, islice(words, 1, None)))
+    out[f"r{min(10, int(40 * sum(twice) / n))}"] = 0.3
+    thrice = sum(map(and_, twice, islice(twice, 1, None)))  # even a few in a long text tell
+    out[f"t{min(5, thrice.bit_length())}"] = 0.5
     out[f"c{min(9, int(10 * max(counts.values()) / n))}"] = 0.1
     letters = sum(len(w) * c for w, c in counts.items()) / n
     out[f"l{min(20, int(letters))}"] = 0.05
@@ -73,24 +76,25 @@ def terms_of(text: str | None) -> dict[str, float]:
 class LatentVoter:
     """Term weights, the latent space, and the labelled vectors in it."""
 
-    def __init__(self, terms: list[str], rows: list[tuple[list[int], list[float], int]]):
+    def __init__(self, terms: list[str], x: np.ndarray, labels: np.ndarray):
+        """``x``: a row of term frequencies per labelled document; it is worked on in place."""
         self.terms = {t: k for k, t in enumerate(terms)}
         self.idf = np.ones(len(terms), np.float32)
-        x = np.zeros((len(rows), len(terms)), np.float32)
-        for r, (index, value, _) in enumerate(rows):
-            x[r, index] = value
-        self.labels = np.array([y for _, _, y in rows], np.float32)
-        self.prior = float(self.labels.mean()) if len(rows) else 0.5
-        if len(terms) and len(rows):
-            self.idf = np.log((1 + len(rows)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
-            x = self._weighted(x)
-            scatter = x.astype(np.float64).T @ x
+        self.labels = labels.astype(np.float32)
+        self.prior = float(self.labels.mean()) if len(labels) else 0.5
+        if x.size:
+            self.idf = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + 1
+            scatter = np.zeros((len(terms), len(terms)))
+            for a in range(0, len(x), BLOCK):
+                x[a : a + BLOCK] = self._weighted(x[a : a + BLOCK])
+                part = x[a : a + BLOCK].astype(np.float64)
+                scatter += part.T @ part
             _, vectors = np.linalg.eigh(scatter)
             self.space = vectors[:, ::-1][:, :DIMENSIONS].astype(np.float32)
             self.vectors = self._unit(x @ self.space)
         else:
             self.space = np.zeros((len(terms), 0), np.float32)
-            self.vectors = np.zeros((len(rows), 0), np.float32)
+            self.vectors = np.zeros((len(labels), 0), np.float32)
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
@@ -156,10 +160,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_terms: int
 
         out = T.StructType([schema["id"], schema["y"], T.StructField("i", T.ArrayType(T.IntegerType())), T.StructField("v", T.ArrayType(T.FloatType()))])
         # Repeated rows of an id count once, so the sample stays within its bound.
-        collected = found.mapInArrow(indexed, out).groupBy("id").agg(F.min(F.struct("y", "i", "v")).alias("r")).orderBy("id").limit(sample).collect()
+        rows = found.mapInArrow(indexed, out).groupBy("id").agg(F.min(F.struct("y", "i", "v")).alias("r")).orderBy("id").limit(sample)
+        got = rows.select("r.y", "r.i", "r.v").toArrow()
     finally:
         found.unpersist()
-    return LatentVoter(terms, [(r[1][1], r[1][2], r[1][0]) for r in collected])
+    index, value = got.column("i").combine_chunks(), got.column("v").combine_chunks()
+    x = np.zeros((len(got), len(terms)), np.float32)
+    x[np.repeat(np.arange(len(got)), pc.list_value_length(index).to_numpy(zero_copy_only=False)), index.flatten().to_numpy()] = value.flatten().to_numpy()
+    return LatentVoter(terms, x, got.column("y").to_numpy())
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, column: str = "score", sample: int = SAMPLE) -> DataFrame:

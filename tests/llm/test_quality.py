@@ -65,7 +65,7 @@ def test_nothing_to_learn_from(frame):
     docs, labels = tables(frame)
     assert {r.score for r in score_quality(docs, labels.where("false")).collect()} == {0.5}
     assert score_quality(docs.where("false"), labels).count() == 0
-    assert LatentVoter([], []).score(["a"])[0] == 0.5
+    assert LatentVoter([], np.zeros((0, 0), np.float32), np.zeros(0)).score(["a"])[0] == 0.5
 
 
 def test_held_out_accuracy(spark):
