@@ -45,12 +45,16 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
+def materialize(df: DataFrame, gather: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
+
+    ``gather`` is for small results of many tasks: they are dealt anew to
+    partitions of Spark's advisory size first, so as not to leave a file each.
+    """
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_dir(spark)}/tessara-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.hint("rebalance") if gather else df).write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -147,8 +151,22 @@ def hashed_words(raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray, lower:
     """The 64-bit hash of each word, its row, and its first and past-the-end byte.
 
     A word is a maximal run of bytes of ``kind`` inside one row. Hashes are
-    those of a polynomial over the bytes, from prefix sums modulo 2**64.
+    those of a polynomial over the bytes, from prefix sums modulo 2**64; they
+    are made for about SLICE_BYTES at a time.
     """
+    if len(raw) <= SLICE_BYTES:
+        return _hashed(raw, offsets, kind, lower)
+    parts, a, n = [], 0, len(offsets) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE_BYTES, "right")) - 1)
+        begin = offsets[a]
+        h, row, first, past = _hashed(raw[begin : offsets[b]], offsets[a : b + 1] - begin, kind, lower)
+        parts.append((h, row + a, first + begin, past + begin))
+        a = b
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _hashed(raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     if not len(raw):
         return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
     data = LOWER[raw] if lower else raw
@@ -163,7 +181,9 @@ def hashed_words(raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray, lower:
     first, past = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     power, inverse = _grown(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
+    np.add(data, np.uint64(1), out=sums[1:], dtype=np.uint64, casting="unsafe")
+    sums[1:] *= power[: len(data)]
+    np.cumsum(sums, out=sums)
     h = (sums[past] - sums[first]) * inverse[first]
     h = mix(h + (past - first).astype(np.uint64) * _M)
     return h, np.searchsorted(offsets, first, "right") - 1, first, past

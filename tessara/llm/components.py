@@ -56,14 +56,13 @@ def components(edges: DataFrame, jumps: int = 2) -> DataFrame:
     to; every round at least halves the vertices that still have edges. Joins
     are on vertices against a table with one row for each.
     """
-    edges = materialize(thinned(edges))
+    edges = materialize(thinned(edges), gather=True)
     maps = []
     while not edges.isEmpty():
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         up = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p"))
-        up = materialize(up)
+        far = up.select(F.col("u").alias("p"), F.col("p").alias("q"))
         for _ in range(jumps):
-            far = up.select(F.col("u").alias("p"), F.col("p").alias("q"))
             up = up.join(far, "p").select("u", F.col("q").alias("p"))
         up = materialize(up)
         maps.append(up)

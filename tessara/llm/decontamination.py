@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from .common import LOWER_TABLE, WORD_BYTES, hashed_words, slices, windows
+from .common import LOWER_TABLE, WORD_BYTES, hashed_words, materialize, slices, windows
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Windows of the benchmark up to which they are broadcast.
@@ -146,6 +146,7 @@ def _scan_by_join(docs: DataFrame, benchmark: DataFrame, n: int, share: float, k
     item = item.select("item", size.alias("len"), F.explode(runs(size)).alias("window")).groupBy("window", "len").agg(F.collect_set("item").alias("items"))
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(key).alias("key"), words.alias("w"), gaps.alias("g"))
     rows = rows.withColumn("ends", F.expr("slice(aggregate(zip_with(w, slice(g, 1, size(w)), (a, b) -> struct(coalesce(length(b), 0) as b, length(a) as a)), array(named_struct('s', 0, 'e', 0)), (acc, x) -> concat(acc, array(named_struct('s', element_at(acc, -1).e + x.b, 'e', element_at(acc, -1).e + x.b + x.a)))), 2, size(w))"))
+    rows = materialize(rows)  # row numbers must not change between the two uses
     lengths = [r[0] for r in item.select("len").distinct().collect()]
     parts = [rows.where(F.size("w") >= k).select("__row", F.lit(k).alias("len"), F.posexplode(runs(F.lit(k))).alias("at", "window")) for k in lengths]
     hits = None

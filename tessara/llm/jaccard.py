@@ -22,7 +22,7 @@ from .components import Forest, components
 
 ROWS = 6
 #: Classes, and n-grams, of a block; a tile holds two blocks.
-BLOCK_CLASSES, BLOCK_GRAMS = 512, 1_000_000
+BLOCK_CLASSES, BLOCK_GRAMS = 256, 1_000_000
 
 
 def bands_for(threshold: float, recall: float, rows: int = ROWS) -> int:
@@ -118,7 +118,7 @@ def _bucket_edges(classes: DataFrame) -> DataFrame:
         if ends is not None:
             yield ends
 
-    found = materialize(rows.mapInArrow(run, "u bigint, v bigint, b bigint"))
+    found = materialize(rows.mapInArrow(run, "u bigint, v bigint, b bigint"), gather=True)
     # At most two rows of each partition meet here.
     parts = found.where("u is null")
     first = parts.groupBy("b").agg(F.min("v").alias("u"), F.count_distinct("v").alias("n")).where("n > 1")
@@ -197,7 +197,10 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
         if len(parts) > 1:
             yield tile(key, parts)
 
-    ordered = rows.repartition("group", "left", "right").sortWithinPartitions("group", "left", "right", "v")
+    # The tiles of a group go to partitions one after another, so that none gets several of a large one.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.pmod(F.pmod(F.xxhash64("group"), F.lit(tasks)) + F.col("left").cast("bigint") * F.col("n_blocks") + F.col("right"), F.lit(tasks)).cast("int")
+    ordered = rows.repartitionById(tasks, place).drop("n_blocks").sortWithinPartitions("group", "left", "right", "v")
     return ordered.mapInArrow(run, "v bigint, links bigint, u bigint")
 
 
@@ -239,8 +242,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
 
     rows = texts.mapInArrow(sets, "v bigint, copies bigint, group bigint, n_blocks int, block int, grams binary")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    rows = rows.select("group", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "v", "copies", "block", "grams")
-    found = materialize(_verify(rows, threshold))
+    rows = rows.select("group", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "v", "copies", "block", "grams", "n_blocks")
+    found = materialize(_verify(rows, threshold), gather=True)
     links = found.groupBy("v").agg(F.sum("links").alias("links"))
     roots = components(found.select("u", "v"))
     own = classes.join(links, "v", "left").join(roots, "v", "left").select("v", "copies", "at", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "v").alias("root"))

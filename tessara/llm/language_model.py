@@ -253,7 +253,7 @@ def score_texts(docs: DataFrame, train=None, shards: int | None = None) -> DataF
             yield scored(head, parts)
 
     both = left.unionByName(right).repartition("chunk").sortWithinPartitions("chunk", "shard")
-    found = materialize(both.mapInArrow(run, f"doc_id {id_type}, train boolean, n_tokens bigint, n_known bigint, base_score double, scores array<double>, alone array<double>"))
+    found = materialize(both.mapInArrow(run, f"doc_id {id_type}, train boolean, n_tokens bigint, n_known bigint, base_score double, scores array<double>, alone array<double>"), gather=True)
     sums = found.where("train").agg(*[F.coalesce(F.sum(F.col("alone")[k]), F.lit(0.0)) for k in range(len(MUS))]).first()
     best = int(np.argmax(sums))
     return found.select("doc_id", "train", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", F.col("scores")[best].alias("score"))
