@@ -28,6 +28,8 @@ SALTS = 16
 GROUP = 3
 #: Elements at either end of a deeply nested path.
 DEPTH = 60
+#: The rank of slots in no known container.
+LAST = 3
 #: Pages that must agree before a slot's text counts as the host's own.
 CONSTANT_PAGES = 3
 
@@ -39,7 +41,7 @@ CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "caption", "thead", "tbod
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 AWAY = frozenset("nav footer aside form header dialog menu search fieldset".split())
 AWAY_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert menu nav navbar navigation"
+    "ad ads adv adbanner adbox adsbygoogle adslot adspace adunit advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert menu nav navbar navigation"
     " breadcrumb breadcrumbs sidebar side widget header masthead topbar footer comment comments commentlist reply replies respond disqus discussion share sharing social related recommended"
     " newsletter subscribe subscription signup login search searchbox popup modal overlay toolbar pagination pager copyright complementary contentinfo form skip".split()
 )
@@ -111,7 +113,7 @@ def label(name: str, attributes: str) -> str:
     away = name in AWAY or bool(AWAY_WORDS.intersection(words)) or bool(attributes and _HIDDEN.search(attributes))
     if name in HOLDERS and not AWAY_WORDS.intersection(words):
         away = False
-    sign = "-" if away else "+" if name in HOLDERS else "*" if HOLDER_WORDS.intersection(words) else ""
+    sign = "-" if away else "+" if name in HOLDERS else "*" if HOLDER_WORDS.intersection(words) and name not in ("html", "body") else ""
     return sign + ".".join([name, *words[:4]])
 
 
@@ -254,7 +256,7 @@ def skeleton(found: list[tuple[str, str]]) -> list:
 
 
 def slots(wrapper: list, path: str = "") -> dict[str, int]:
-    """Rank of each text slot by its path: 0 in an article, 1 in what is named as content, 2 elsewhere; others have none."""
+    """Rank of each text slot by its path; slots of what is never main text have none."""
     out: dict[str, int] = {}
     for name, _, children in wrapper:
         if name == "#":
@@ -267,16 +269,20 @@ def slots(wrapper: list, path: str = "") -> dict[str, int]:
 
 
 def slot_rank(path: str) -> int | None:
+    """0 in an article, 1 in the main element, 2 in what is named as content, LAST elsewhere.
+
+    Of an article's own header its headings are kept.
+    """
     parts = path.split("/")
     holder = max((k for k, p in enumerate(parts) if p.startswith("+")), default=-1)
     away = [k for k, p in enumerate(parts) if p.startswith("-") and k > holder]
-    if away:
-        tag = parts[-1].split(".")[0]
-        titled = holder >= 0 and len(away) == 1 and parts[away[0]] == "-header" and tag in HEADINGS
-        return 0 if titled else None
+    rank = 2 if any(p.startswith("*") for p in parts) else LAST
     if holder >= 0:
-        return 0
-    return 1 if any(p.startswith("*") for p in parts) else 2
+        rank = 0 if any(p.startswith("+article") for p in parts) else 1
+    if away:
+        titled = holder >= 0 and len(away) == 1 and "header" in re.split(r"[-.]", parts[away[0]]) and parts[-1].split(".")[0] in HEADINGS
+        return rank if titled else None
+    return rank
 
 
 def rendered(wrapper: list) -> str:
@@ -364,7 +370,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
                     rank = ranks[wrapper]
                     found = [(rank[p], p, t) for p, t in blocks(page) if p in rank]
                     best = min((r for r, _, _ in found), default=0)
-                    same = set(constant) if best == 2 else ()
+                    same = set(constant) if best == LAST else ()
                     texts.append(" ".join(t for r, p, t in found if r == best and p not in same))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -33,7 +33,7 @@ def test_full_page(frame):
     ("page", "want"),
     [
         (None, ""), ("", ""), ("plain text", "plain text"), ("<article>open <p>a<p>b", "open a b"), ('<div class="ad">x<article><p>y</p></article>', "y"), ("<article>1 < 2 &lt; 3 &copy</article>", "1 < 2 < 3 ©"),
-        ("<article><p title=\"a > b\">q</p><p x='", "q"), ("<ARTICLE><P>Up</P></ARTICLE>", "Up"), ("<article>a<script>no", "a"), ("<nav>only</nav>", ""), ('<div role="main" class="content"><p>c</p></div><p>out</p>', "c"),
+        ("<article><p title=\"a > b\">q</p><p x='", "q"), ("<ARTICLE><P>Up</P></ARTICLE>", "Up"), ("<article>a<script>no", "a"), ("<nav>only</nav>", ""), ("<main><p>crumbs</p><article><div class='entry-header'><h2>T</h2><p>by</p></div><p>x</p></article></main>", "T x"), ("<main><p>m</p></main><p>o</p>", "m"), ("<body class=post><p>b</p><ins class=adsbygoogle>ad</ins></body>", "b"), ('<div role="main" class="content"><p>c</p></div><p>out</p>', "c"),
         ("<article>" + "<p>w</p>" * 5000 + "</article>", " ".join(["w"] * 5000)), ("<article>" + "x" * 500_000 + "</article>", "x" * 500_000), ("<div>" * 2000 + "deep", "deep"), ("<div><section>" * 2000 + "deep", "deep"), ("<article>" + "<div class=a><section>" * 500 + "<nav>" + "<div><section>" * 500 + "deep", ""), ("<article>\U0001f600&#x1F600;</article>", "\U0001f600\U0001f600"),
     ],
 )
@@ -59,7 +59,7 @@ def test_wrappers_are_regular_expressions_without_unions(frame):
     assert rendered(align(a, b)) == rendered(align(b, a)) == "(-nav: #text)? (+article: (h1: #text) (p: #text)+)"
     pairs = fold([["dt", "", []], ["dd", "", []]] * 3)
     assert [(n, t) for n, t, _ in pairs] == [("dt", "+"), ("dd", "+")]
-    assert slot_rank("body/+article/p") == 0 and slot_rank("body/-nav/li") is None and slot_rank("body/*div.content/p") == 1 and slot_rank("body/div/p") == 2
+    assert slot_rank("body/+article/p") == 0 and slot_rank("body/-nav/li") is None and slot_rank("body/+main/p") == 1 and slot_rank("body/*div.content/p") == 2 and slot_rank("body/div/p") == 3
 
 
 def test_hosts(frame):
