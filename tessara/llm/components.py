@@ -61,6 +61,7 @@ def components(edges: DataFrame, jumps: int = 2) -> DataFrame:
     while not edges.isEmpty():
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         up = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p"))
+        up = materialize(up)  # its size is then known when the joins below are planned
         far = up.select(F.col("u").alias("p"), F.col("p").alias("q"))
         for _ in range(jumps):
             up = up.join(far, "p").select("u", F.col("q").alias("p"))
