@@ -7,8 +7,10 @@ each round, so the rounds get small. A longest-common-prefix interval of at
 least ``min_words`` words is a class of places with equal names for their
 first ``min_words`` words; in each interval all places but the first are later
 copies. Every non-empty line has a word, so ``log2(min_words)`` rounds reach
-that depth, whatever the length of the repeated runs: a longer run is covered
-by the windows that start at each of its lines.
+that depth, whatever the length of the repeated runs: a run is covered by the
+shortest windows of ``min_words`` words that start at one of its lines and those
+that end at one. The former alone leave the lines after the last that fits in
+the run; the window that ends with the run covers them.
 
 Names are pairs of 64-bit hashes, not dense ranks: equality is what intervals
 need, and no global sort is needed for it.
@@ -29,7 +31,12 @@ def _name(*columns: Column) -> Column:
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """One row per non-blank line: place, name, and the lines that its first ``min_words`` words span."""
+    """One row per non-blank line: place, name, and the sizes of the windows that start there.
+
+    Windows of ``__m`` to ``__most`` lines are those that are the shortest of at
+    least ``min_words`` words from their first line (``__m``) or up to their last
+    (the longer ones, one for each line that ends one); ``__m`` is 0 for none.
+    """
     lines = docs.select(F.col("doc_id").alias("__doc"), F.xxhash64("doc_id", "text").alias("__key"), F.posexplode(F.split(F.col("text"), "\n", -1)).alias("__line", "__text"))
     lines = lines.select("__doc", "__key", "__line", F.trim(F.regexp_replace("__text", r"[\x09-\x0D]", " ")).alias("__text")).where("__text <> ''")
     lines = lines.select("__doc", "__key", "__line", F.size(F.split("__text", " +")).alias("__words"), _name(F.col("__text")).alias("__name"))
@@ -37,8 +44,11 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     own = Window.partitionBy("__key", "__doc").orderBy("__line")
     lines = lines.withColumns({"__i": F.row_number().over(own), "__before": F.coalesce(F.sum("__words").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")})
     span = Window.partitionBy("__key", "__doc").orderBy("__before").rangeBetween(0, min_words - 1)
-    lines = lines.withColumns({"__m": F.count(F.lit(1)).over(span), "__last": F.max("__line").over(span), "__total": F.sum("__words").over(span)})
-    return lines.select(*PLACE, "__name", "__line", "__last", F.when(F.col("__total") >= min_words, F.col("__m").cast("int")).otherwise(F.lit(0)).alias("__m"))
+    lines = lines.withColumns({"__m": F.count(F.lit(1)).over(span), "__total": F.sum("__words").over(span), "__end": F.col("__before") + F.col("__words")})
+    # A window is the shortest up to its last line when fewer than min_words words follow its first line.
+    follow = Window.partitionBy("__key", "__doc").orderBy("__end").rangeBetween(0, min_words - 1)
+    lines = lines.withColumn("__most", F.greatest("__m", F.count(F.lit(1)).over(follow)).cast("int"))
+    return lines.select(*PLACE, "__name", "__line", F.col("__line").alias("__last"), F.when(F.col("__total") >= min_words, F.col("__m").cast("int")).otherwise(F.lit(0)).alias("__m"), "__most")
 
 
 def _first_places(rows: DataFrame, *name: str) -> DataFrame:
@@ -46,20 +56,21 @@ def _first_places(rows: DataFrame, *name: str) -> DataFrame:
     return rows.groupBy(*name).agg(F.min(place).alias("__first"), F.max(place).alias("__end"))
 
 
-def _places(found: DataFrame) -> DataFrame:
-    return found.select("__first.*")
+def _places(found: DataFrame, *also: str) -> DataFrame:
+    return found.select("__first.*", *also)
 
 
 def _minus(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """Rows at none of the places; keys are null-safe, as a document id may be null."""
-    p = places.select(*[F.col(c).alias(f"{c}_p") for c in PLACE])
-    return rows.join(p, (F.col("__key") == F.col("__key_p")) & (F.col("__i") == F.col("__i_p")) & F.col("__doc").eqNullSafe(F.col("__doc_p")), "left_anti")
+    """Rows at none of the places, or of none of their sizes; keys are null-safe, as a document id may be null."""
+    p = places.select(*[F.col(c).alias(f"{c}_p") for c in places.columns])
+    on = (F.col("__key") == F.col("__key_p")) & (F.col("__i") == F.col("__i_p")) & F.col("__doc").eqNullSafe(F.col("__doc_p"))
+    return rows.join(p, on & (F.col("__m") == F.col("__m_p")) if "__m" in places.columns else on, "left_anti")
 
 
 def _further(rows: DataFrame, names: DataFrame, at: Column) -> DataFrame:
-    """Adds the name at another line of the same document, where it is still repeated."""
-    n = names.select(F.col("__key").alias("__key_n"), F.col("__doc").alias("__doc_n"), F.col("__i").alias("__i_n"), F.col("__name").alias("__name_2"))
-    return rows.join(n, (F.col("__key") == F.col("__key_n")) & (at == F.col("__i_n")) & F.col("__doc").eqNullSafe(F.col("__doc_n"))).drop("__key_n", "__doc_n", "__i_n")
+    """Adds the name at another line of the same document, where it is still repeated, and takes over its last line."""
+    n = names.select(F.col("__key").alias("__key_n"), F.col("__doc").alias("__doc_n"), F.col("__i").alias("__i_n"), F.col("__name").alias("__name_2"), "__last")
+    return rows.drop("__last").join(n, (F.col("__key") == F.col("__key_n")) & (at == F.col("__i_n")) & F.col("__doc").eqNullSafe(F.col("__doc_n"))).drop("__key_n", "__doc_n", "__i_n")
 
 
 def later_copies(docs: DataFrame, min_words: int = 51) -> DataFrame:
@@ -72,8 +83,9 @@ def later_copies(docs: DataFrame, min_words: int = 51) -> DataFrame:
     intervals, k = None, 0
     while True:
         size = 1 << k
-        ends = rows.where((F.col("__m") >= size) & (F.col("__m") < 2 * size))
-        ends = _further(ends, rows, F.col("__i") + F.col("__m") - size).withColumn("__interval", _name(F.col("__m"), F.col("__name"), F.col("__name_2"))).select(*PLACE, "__line", "__last", "__interval")
+        ends = rows.where((F.col("__m") > 0) & (F.col("__most") >= size) & (F.col("__m") < 2 * size))
+        ends = ends.withColumn("__m", F.explode(F.sequence(F.greatest("__m", F.lit(size)), F.least("__most", F.lit(2 * size - 1)))))
+        ends = _further(ends, rows, F.col("__i") + F.col("__m") - size).withColumn("__interval", _name(F.col("__m"), F.col("__name"), F.col("__name_2"))).select(*PLACE, "__m", "__line", "__last", "__interval")
         intervals = ends if intervals is None else intervals.unionByName(ends)
         if 2 * size > min_words:
             break
@@ -82,7 +94,7 @@ def later_copies(docs: DataFrame, min_words: int = 51) -> DataFrame:
         rows = materialize(_minus(rows, _places(_first_places(rows, "__name").where("__first = __end"))))
         k += 1
     intervals = materialize(intervals)
-    return _minus(intervals, _places(_first_places(intervals, "__interval"))).select("__doc", "__key", "__line", "__last")
+    return _minus(intervals, _places(_first_places(intervals, "__interval", "__m"), "__m")).select("__doc", "__key", "__line", "__last")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 51) -> DataFrame:
