@@ -12,6 +12,7 @@ the page fills.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -30,8 +31,10 @@ GROUP = 3
 DEPTH = 60
 #: The rank of slots in no known container.
 LAST = 3
-#: Pages that must agree before a slot's text counts as the host's own.
+#: Different pages that must agree before a slot's text counts as the host's own.
 CONSTANT_PAGES = 3
+#: The share of a slot's different pages that must agree as well.
+CONSTANT_SHARE = 0.9
 
 # HTML's element names, and words that sites give to what is not the main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -290,8 +293,22 @@ def rendered(wrapper: list) -> str:
     return " ".join("#text" + times if name == "#" else f"({name}: {rendered(children)}){times}" if children else name + times for name, times, children in wrapper)
 
 
+def key_of(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def said_by(found: list[tuple[str, str]]) -> dict[str, int]:
+    """The key of what a page says in each slot in no known container."""
+    texts: dict[str, list[str]] = {}
+    for p, t in found:
+        texts.setdefault(p, []).append(t)
+    return {p: key_of(" ".join(t)) for p, t in texts.items() if slot_rank(p) == LAST}
+
+
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON), constant (paths of slots that say the same on all pages) of each host.
+    """host, wrapper (JSON), constant (paths of slots that say the same on nearly all pages), common (keys of what they say) of each host.
+
+    Copies of a page are one page: pages are told apart by their whole content.
 
     Equal skeletons are counted before they meet, so a host of very many pages
     brings no more rows than it has layouts; those are aligned in SALTS parts,
@@ -303,20 +320,19 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                host, said, layout, path = [], [], [], []
+                host, said, layout, path, own = [], [], [], [], []
                 for h, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
                     found = blocks(page)
-                    texts: dict[str, list[str]] = {}
-                    for p, t in found:
-                        texts.setdefault(p, []).append(t)
+                    texts = said_by(found)
                     host += [h] * (len(texts) + 1)
                     layout += [json.dumps(skeleton(found), separators=(",", ":")), *[None] * len(texts)]
                     path += [None, *texts]
-                    said += [None, *(" ".join(t) for t in texts.values())]
-                yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(layout, pa.string()), pa.array(path, pa.string()), pa.array(said, pa.string())], names=["host", "layout", "path", "said"])
+                    said += [None, *texts.values()]
+                    own += [None, *[key_of(page or "") if texts else None] * len(texts)]
+                yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(layout, pa.string()), pa.array(path, pa.string()), pa.array(said, pa.int64()), pa.array(own, pa.int64())], names=["host", "layout", "path", "said", "own"])
 
-    rows = source.mapInArrow(read, "host string, layout string, path string, said string").withColumn("said", F.when(F.col("said").isNotNull(), F.xxhash64("said")))
-    counted = materialize(rows.groupBy("host", "layout", "path").agg(F.min("said").alias("lo"), F.max("said").alias("hi"), F.count(F.lit(1)).alias("n")))
+    rows = source.mapInArrow(read, "host string, layout string, path string, said bigint, own bigint")
+    counted = materialize(rows.distinct().groupBy("host", "layout", "path", "said").agg(F.count(F.lit(1)).alias("n")))
     layouts = counted.where("layout is not null").select("host", F.pmod(F.xxhash64("layout"), F.lit(SALTS)).cast("int").alias("salt"), "layout")
 
     def fold_all(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -336,8 +352,10 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         return rows.repartition(*keys).sortWithinPartitions(*keys, "layout").select(*keys, "layout").mapInArrow(run, "host string, layout string")
 
     wrappers = fold_all(fold_all(layouts, ["host", "salt"]), ["host"])
-    constant = counted.where("path is not null").where((F.col("lo") == F.col("hi")) & (F.col("n") >= CONSTANT_PAGES)).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("constant"))
-    return wrappers.join(constant, "host", "left").select("host", F.col("layout").alias("wrapper"), F.coalesce("constant", F.array().cast("array<string>")).alias("constant"))
+    most = counted.where("path is not null").groupBy("host", "path").agg(F.max(F.struct("n", "said")).alias("most"), F.sum("n").alias("all"))
+    most = most.where((F.col("most.n") >= CONSTANT_PAGES) & (F.col("most.n") >= CONSTANT_SHARE * F.col("all")))
+    constant = most.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "most.said"))).alias("most"))
+    return wrappers.join(constant, "host", "left").select("host", F.col("layout").alias("wrapper"), F.coalesce("most.path", F.array().cast("array<string>")).alias("constant"), F.coalesce("most.said", F.array().cast("array<bigint>")).alias("common"))
 
 
 def host_of(url):
@@ -351,18 +369,20 @@ def extract_text(pages: DataFrame) -> DataFrame:
     Null and empty pages have an empty text; pages whose url is null or has no
     host share one wrapper; repeated rows give repeated rows; other columns are
     not read; an empty table gives no rows. Nothing is dropped from a slot that
-    is taken, and no text is cut.
+    is taken, and no text is cut. Of a page without known containers, slots go
+    that say what nearly all of the host's different pages say there, unless
+    nothing would be left of the page.
     """
     wrappers = materialize(infer_wrappers(pages))
     source = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
-    rows = join_small(source, wrappers, ["host"]).select("page_id", "url", "html", "wrapper", "constant")
+    rows = join_small(source, wrappers, ["host"]).select("page_id", "url", "html", "wrapper", "constant", "common")
 
     def run(batches):
         ranks: dict[str, dict[str, int]] = {}
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part, texts = batch.slice(a, 256), []
-                for page, wrapper, constant in zip(*(part.column(c).to_pylist() for c in ("html", "wrapper", "constant"))):
+                for page, wrapper, constant, common in zip(*(part.column(c).to_pylist() for c in ("html", "wrapper", "constant", "common"))):
                     if wrapper not in ranks:
                         if len(ranks) > 1000:
                             ranks.clear()
@@ -370,8 +390,12 @@ def extract_text(pages: DataFrame) -> DataFrame:
                     rank = ranks[wrapper]
                     found = [(rank[p], p, t) for p, t in blocks(page) if p in rank]
                     best = min((r for r, _, _ in found), default=0)
-                    same = set(constant) if best == LAST else ()
-                    texts.append(" ".join(t for r, p, t in found if r == best and p not in same))
+                    taken = [(p, t) for r, p, t in found if r == best]
+                    if best == LAST and constant:
+                        same = set(zip(constant, common)) & set(said_by(taken).items())
+                        gone = {p for p, _ in same}
+                        taken = [(p, t) for p, t in taken if p not in gone] or taken
+                    texts.append(" ".join(t for _, t in taken))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = [f"{c} {source.schema[c].dataType.simpleString()}" for c in ("page_id", "url")]
