@@ -23,10 +23,11 @@ def accuracy_score(df: DataFrame, y: str, p: str, normalize: bool = True) -> Dat
     return df.agg((_share(hits, F.count(F.lit(1))) if normalize else hits).alias("accuracy"))
 
 
-def confusion_matrix(df: DataFrame, y: str, p: str, labels: Sequence[int] | None = None) -> DataFrame:
+def confusion_matrix(df: DataFrame, y: str, p: str, labels: Sequence[int] | None = None, dense: bool = True) -> DataFrame:
     """(actual, predicted, n) for all pairs of labels, those that never occur with 0.
 
     By default the labels are those of either column; with ``labels``, other rows are left out.
+    With ``dense=False`` only pairs that occur have a row, so that very many labels do no harm.
     """
     counts = df.groupBy(F.col(y).cast("int").alias("actual"), F.col(p).cast("int").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
     if labels is None:
@@ -34,6 +35,10 @@ def confusion_matrix(df: DataFrame, y: str, p: str, labels: Sequence[int] | None
         known = counts.select(F.explode(F.array("actual", "predicted")).alias("label"), "n").groupBy("label").agg(F.sum("n").alias("n")).where("label is not null and n > 0").select("label")
     else:
         known = df.sparkSession.createDataFrame([(int(v),) for v in labels], "label int").distinct()
+    if not dense:
+        for side in ("actual", "predicted"):
+            counts = counts.join(known.withColumnRenamed("label", side), side, "left_semi")
+        return counts.select("actual", "predicted", "n")
     # The result has a row per pair of labels by definition; it is made of the labels, not of rows.
     cells = known.select(F.col("label").alias("actual")).crossJoin(known.select(F.col("label").alias("predicted")))
     c = counts.select(F.col("actual").alias("a"), F.col("predicted").alias("b"), "n")
@@ -86,7 +91,12 @@ def f1_score(df: DataFrame, y: str, p: str, average: str = "binary", positive: i
 
 
 def log_loss(df: DataFrame, y: str, proba: str, eps: float = 1e-15) -> DataFrame:
-    """``log_loss``: mean of -ln of the probability at the label's place, clipped; a missing place counts as eps; 0 without rows."""
-    given = F.coalesce(F.get(F.col(proba).cast("array<double>"), F.col(y).cast("int")), F.lit(eps))
+    """``log_loss``: mean of -ln of the probability at the label's place, clipped; a missing place counts as eps; 0 without rows.
+
+    A label that is no whole number, NaN included, has no place.
+    """
+    label = F.col(y).cast("double")
+    place = label.try_cast("int")
+    given = F.coalesce(F.when(place == label, F.get(F.col(proba).cast("array<double>"), place)), F.lit(eps))
     clipped = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), given))
     return df.agg(F.coalesce(F.avg(-F.ln(clipped)), F.lit(0.0)).alias("log_loss"))

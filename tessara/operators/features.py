@@ -37,17 +37,27 @@ class Features:
         return F.when(F.size(x) == width, x).otherwise(F.raise_error(F.lit(f"the row does not have {width} features")))
 
     def statistics(self, df: DataFrame, build: dict[str, Callable[[Column], Column]]) -> tuple[int, list[dict[str, float]]]:
-        """Row count, and per feature the aggregates, from one pass over the data."""
+        """Row count, and per feature the aggregates, from one pass over the data.
+
+        Of an array column the names tell what is wanted: mean, var, lo, hi.
+        """
         self.require(df)
         if not self.is_array:
             columns = [F.col(c).cast("double") for c in self.columns]
             row = df.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{name}_{k}") for k, c in enumerate(columns) for name, f in build.items()]).first()
             return row["n"], [{name: row[f"{name}_{k}"] for name in build} for k in range(len(columns))]
-        x = df.select(F.posexplode(F.col(self.columns).cast("array<double>")).alias("k", "v"))
-        rows = x.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *[f(F.col("v")).alias(name) for name, f in build.items()]).orderBy("k").collect()
-        if len({r["n"] for r in rows}) > 1:
+        from ..plans.moments import column_statistics
+
+        parts = column_statistics(df.select(F.col(self.columns).cast("array<double>").alias("x")).where("x is not null"))
+        mean = F.sum(F.col("mean") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))
+        whole = parts.groupBy("k").agg(F.sum("rows").alias("rows"), F.sum("n").alias("n"), mean.alias("m"), F.collect_list(F.struct("n", "mean", "m2")).alias("parts"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        # Merged about the mean of all, with a row of each partition; nothing cancels.
+        spread = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["m2"] + p["n"] * (p["mean"] - F.col("m")) * (p["mean"] - F.col("m")))
+        some = F.col("lo") <= F.col("hi")
+        rows = whole.select("k", "rows", F.col("m").alias("mean"), (spread / F.nullif(F.col("n") - 1, F.lit(0))).alias("var"), F.when(some, F.col("lo")).alias("lo"), F.when(some, F.col("hi")).alias("hi")).orderBy("k").collect()
+        if len({r["rows"] for r in rows}) > 1:
             raise ValueError("rows have different numbers of features")
-        return (rows[0]["n"] if rows else 0), [{name: r[name] for name in build} for r in rows]
+        return (rows[0]["rows"] if rows else 0), [{name: r[name] for name in build} for r in rows]
 
     def map(self, df: DataFrame, f: Callable[[Column, Callable[[Sequence[float]], Column]], Column], width: int) -> DataFrame:
         """``df`` with each feature replaced by ``f(value, pick)``; pick(values) is the feature's own of a list."""

@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..base import Estimator, TransformerMixin
 from ..functions.vectors import array_of, let, norm
+from ..plans.ranks import with_rank
 from .features import Features
 
 #: Classes up to which the encoder broadcasts them.
@@ -108,8 +109,7 @@ class LabelEncoder(TransformerMixin, Estimator):
         odd = labels.where(F.isnan(F.col("class").cast("double")) | (F.col("class").cast("double") != F.floor(F.col("class").cast("double"))))
         if not odd.isEmpty():
             raise ValueError("labels must be whole numbers")
-        # Distinct labels only: the one partition of this window is as small as their number.
-        self.classes_ = labels.select((F.row_number().over(Window.orderBy("class")) - 1).alias("code"), "class")
+        self.classes_ = with_rank(labels, "class").select(F.col("rank").cast("int").alias("code"), "class")
         self.n_classes_ = labels.count()
         return self
 

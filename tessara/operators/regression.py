@@ -37,7 +37,10 @@ def r2_score(y: Column | str, p: Column | str, weight: Column | str | None = Non
     else:
         w = _number(weight)
         residual = F.sum(w * d * d)
-        total = F.sum(w * y * y) - F.sum(w * y) * F.sum(w * y) / F.nullif(F.sum(w), F.lit(0.0))
+        # About the plain mean first: covariances are centred by Spark, so squares of large targets never cancel.
+        n, mean = F.count(w * y), F.avg(F.when(w.isNotNull(), y))
+        drift = n * F.covar_pop(w, y)
+        total = n * F.covar_pop(w * y, y) - mean * drift - drift * drift / F.nullif(F.sum(F.when(y.isNotNull(), w)), F.lit(0.0))
     total = F.coalesce(total, F.lit(0.0))
     return F.when(total == 0, F.lit(1.0)).otherwise(1 - residual / F.nullif(total, F.lit(0.0)))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,11 +46,11 @@ def check_classification_targets(df: DataFrame, y: str) -> None:
 
 
 def _balanced(df: DataFrame, y: str, n_classes: int | None = None) -> DataFrame:
-    """(class, weight) from one aggregate; the window is over as many rows as there are classes."""
+    """(class, weight) from one aggregate and its totals, which are one row."""
     counts = df.groupBy(F.col(y).alias("class")).agg(F.count(F.lit(1)).alias("n"))
-    every = Window.partitionBy()
-    k = F.count("class").over(every) if n_classes is None else F.lit(n_classes)
-    return counts.select("class", (F.sum("n").over(every) / (k * F.col("n"))).alias("weight"))
+    k = F.count("class") if n_classes is None else F.lit(n_classes)
+    total = counts.agg((F.sum("n") / k).alias("__each"))
+    return counts.crossJoin(F.broadcast(total)).select("class", (F.col("__each") / F.col("n")).alias("weight"))
 
 
 def compute_class_weight(weight: str | Mapping[int, float], classes: Sequence[int], df: DataFrame, y: str) -> DataFrame:

@@ -12,15 +12,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.linalg import cholesky
+from .. import errors
+from ..base import ClassifierMixin, ClusterMixin, Estimator, check_is_fitted, clone
+from ..functions.linalg import back_substitution, cholesky, forward_substitution
 from ..functions.vectors import array_of, dot, euclidean_distance, log_logistic, row_norms, softmax
 from ..operators.classification import accuracy_score, confusion_matrix, f1_score, log_loss, precision_score, recall_score
 from ..operators.linear_model import LinearRegression, Ridge, coefficients
 from ..operators.model_selection import KFold, StratifiedKFold, assign_split, cross_validated_r2
 from ..operators.preprocessing import LabelEncoder, MinMaxScaler, Normalizer, StandardScaler
 from ..operators.regression import explained_variance_score, mean_absolute_error, mean_absolute_percentage_error, mean_squared_error, r2_score
-from ..operators.targets import class_count, compute_class_weight, compute_sample_weight, is_binary_classification, type_of_target, unique_labels
-from ..operators.validation import as_integers, check_counts, sample_weight
+from ..operators.targets import check_classification_targets, class_count, compute_class_weight, compute_sample_weight, is_binary_classification, is_multilabel, type_of_target, unique_labels
+from ..operators.validation import as_doubles, as_integers, check_counts, check_features_consistency, num_features, sample_weight
 from ..sources import read_table
 from . import matrices
 from .moments import moments
@@ -195,10 +197,10 @@ def minmax_range_neg1_1(spark, sf_dir):
     return _scaled(MinMaxScaler(COLUMNS, (-1.0, 1.0)).fit_transform(_events(spark, sf_dir)))
 
 
-@query(f"WITH f AS (SELECT min(value) AS lo, max(value) AS hi FROM events WHERE event_id < 100) SELECT event_id, {_r('least(1e0, greatest(0e0, (value-lo)/(hi-lo)))')} AS value, 0e0 AS seven FROM events, f")
+@query(f"WITH f AS (SELECT min(p_size)::DOUBLE AS lo, max(p_size)::DOUBLE AS hi FROM part) SELECT event_id, {_r('least(1e0, greatest(0e0, (value-lo)/(hi-lo)))')} AS value, 0e0 AS seven FROM events, f")
 def minmax_clip(spark, sf_dir):
-    df = _events(spark, sf_dir)
-    return _scaled(MinMaxScaler(COLUMNS, clip=True).fit(df.where("event_id < 100")).transform(df))
+    other = read_table(spark, sf_dir, "part").select(F.col("p_size").cast("double").alias("value"), F.lit(7.0).alias("seven"))
+    return _scaled(MinMaxScaler(COLUMNS, clip=True).fit(other).transform(_events(spark, sf_dir)))
 
 
 @query(f"SELECT event_id, {_r('value', 4)} AS value, 0e0 AS seven FROM events")
@@ -240,6 +242,19 @@ for _kind, _sql in _NORMS.items():
     register(f"normalize_{_kind}", _normalised(_kind), f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), n AS (SELECT vec_id, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS pos, {_sql} AS n FROM e) SELECT vec_id, pos::INTEGER AS pos, {_r('v/n')} AS v FROM n")
 
 
+@query(ORACLES["normalize_l1"])
+def normalize_fit(spark, sf_dir):
+    """fit() learns nothing, but gives the normaliser back."""
+    df = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return Normalizer("embedding", "l1").fit(df).transform(df).select("vec_id", F.posexplode("embedding").alias("pos", "v")).select("vec_id", "pos", rounded("v").alias("v"))
+
+
+@query(ORACLES["normalize_max"])
+def normalize_fit_transform(spark, sf_dir):
+    df = Normalizer("embedding", "max").fit_transform(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return df.select("vec_id", F.posexplode("embedding").alias("pos", "v")).select("vec_id", "pos", rounded("v").alias("v"))
+
+
 @query(f"SELECT l_orderkey, {_r('l_quantity/n')} AS q, {_r('l_discount/n')} AS d, {_r('l_tax/n')} AS t FROM (SELECT *, sqrt(l_quantity*l_quantity+l_discount*l_discount+l_tax*l_tax) AS n FROM lineitem)")
 def normalize_columns(spark, sf_dir):
     df = Normalizer(["l_quantity", "l_discount", "l_tax"]).transform(read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax"))
@@ -284,6 +299,13 @@ def regression_report(spark, sf_dir):
     return _predictions(spark, sf_dir).agg(*[rounded(build(), digits).alias(name) for name, (build, _, digits) in _REGRESSION.items()])
 
 
+@query(f"WITH t AS (SELECT 1e9+l_extendedprice AS y, 1e9+1000*l_quantity+20000*l_discount AS p, l_quantity AS w FROM lineitem), m AS (SELECT sum(w*(y-1e9))/sum(w) AS m FROM t) SELECT {_r('1-sum(w*(y-p)*(y-p))/sum(w*(y-1e9-m)*(y-1e9-m))')} AS r2 FROM t, m")
+def r2_weighted_far(spark, sf_dir):
+    """Targets far from 0, where squares of them would cancel."""
+    df = _predictions(spark, sf_dir).select((F.col("y") + 1e9).alias("y"), (F.col("p") + 1e9).alias("p"), "w")
+    return df.agg(rounded(r2_score("y", "p", "w")).alias("r2"))
+
+
 # Classification metrics: quality against toxic for two classes, embeddings' labels against vec_id % 10 for ten.
 
 
@@ -339,6 +361,23 @@ def confusion_labels(spark, sf_dir):
     return confusion_matrix(_ten(spark, sf_dir), "y", "p", [7, 3, 99])
 
 
+@query(f"WITH {_TEN} SELECT y AS actual, p AS predicted, count(*) AS n FROM t GROUP BY y, p")
+def confusion_sparse(spark, sf_dir):
+    return confusion_matrix(_ten(spark, sf_dir), "y", "p", dense=False)
+
+
+@query(
+    "WITH e AS (SELECT label, list_transform(embedding[1:8]::DOUBLE[], lambda v: exp(v)) AS x FROM embeddings),"
+    " p AS (SELECT CASE WHEN label % 3 = 0 AND label < 8 THEN x[label+1]/list_sum(x) ELSE 1e-15 END AS p FROM e)"
+    f" SELECT {_r('avg(-ln(greatest(1e-15, least(1e0-1e-15, p))))')} AS log_loss FROM p"
+)
+def log_loss_odd_labels(spark, sf_dir):
+    """Labels that are no whole numbers, NaN among them, have no place."""
+    label = F.when(F.col("label") % 3 == 0, F.col("label").cast("double")).when(F.col("label") % 3 == 1, F.col("label") + 0.5).otherwise(F.lit(float("nan")))
+    df = read_table(spark, sf_dir, "embeddings").select(label.alias("label"), softmax(F.slice(F.col("embedding"), 1, 8)).alias("proba"))
+    return log_loss(df, "label", "proba").select(rounded("log_loss").alias("log_loss"))
+
+
 @query(
     "WITH e AS (SELECT label, list_transform(embedding[1:8]::DOUBLE[], lambda v: exp(v)) AS x FROM embeddings), p AS (SELECT CASE WHEN label < 8 THEN x[label+1]/list_sum(x) ELSE 1e-15 END AS p FROM e)"
     f" SELECT {_r('avg(-ln(greatest(1e-15, least(1e0-1e-15, p))))')} AS log_loss FROM p"
@@ -379,6 +418,26 @@ def kfold_shuffled(spark, sf_dir):
     return KFold("o_orderkey", 5, shuffle=True, random_state=3).assign(_orders(spark, sf_dir))
 
 
+@query("SELECT 7 AS n_splits")
+def kfold_n_splits(spark, sf_dir):
+    return spark.createDataFrame([(KFold("o_orderkey", 7).get_n_splits(),)], "n_splits int")
+
+
+@query(
+    "WITH f AS (SELECT c_custkey, ntile(3) OVER (ORDER BY c_custkey) - 1 AS fold FROM customer), k AS (SELECT unnest(range(3)) AS fold)"
+    " SELECT k.fold::INTEGER AS fold, 'test' AS side, count(*) AS n, min(c_custkey) AS lo, max(c_custkey) AS hi FROM f JOIN k ON f.fold = k.fold GROUP BY k.fold"
+    " UNION ALL SELECT k.fold::INTEGER, 'train', count(*), min(c_custkey), max(c_custkey) FROM f JOIN k ON f.fold <> k.fold GROUP BY k.fold"
+)
+def kfold_split(spark, sf_dir):
+    """What split() yields, fold by fold."""
+    out = None
+    for k, sides in enumerate(KFold("c_custkey", 3).split(read_table(spark, sf_dir, "customer").select("c_custkey"))):
+        for name, side in zip(("train", "test"), sides):
+            part = side.agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("lo"), F.max("c_custkey").alias("hi")).select(F.lit(k).alias("fold"), F.lit(name).alias("side"), "n", "lo", "hi")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("SELECT doc_id, quality, (row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1) % 4 AS fold FROM labels")
 def stratified_kfold(spark, sf_dir):
     return StratifiedKFold("doc_id", "quality", 4).assign(read_table(spark, sf_dir, "labels").select("doc_id", "quality"))
@@ -479,6 +538,23 @@ def cholesky_factor(spark, sf_dir):
     return spark.createDataFrame([(i, j, float(factor[i, j])) for i in range(2) for j in range(i + 1)], "i bigint, j bigint, v double").select("i", "j", rounded("v", 4).alias("v"))
 
 
+_VARIANCES = "WITH g AS (SELECT var_pop(p_partkey) AS a, covar_pop(p_partkey, p_size) AS b, var_pop(p_size) AS c, covar_pop(p_partkey, p_retailprice) AS u, covar_pop(p_size, p_retailprice) AS v FROM part), z AS (SELECT *, sqrt(a) AS l11, b/sqrt(a) AS l21, sqrt(c-b*b/a) AS l22, u/sqrt(a) AS z1 FROM g)"
+
+
+@query(f"{_VARIANCES} SELECT 0 AS i, {_r('z1', 4)} AS v FROM z UNION ALL SELECT 1, {_r('(v-l21*z1)/l22', 4)} FROM z")
+def forward_solve(spark, sf_dir):
+    m = moments(_part(spark, sf_dir), *PART)
+    found = forward_substitution(cholesky(m.gram / m.n), m.cross / m.n)
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(found)], "i int, v double").select("i", rounded("v", 4).alias("v"))
+
+
+@query(f"{_VARIANCES} SELECT 0 AS i, {_r('(u-l21*(v/l22))/l11', 4)} AS v FROM z UNION ALL SELECT 1, {_r('v/l22', 4)} FROM z")
+def back_solve(spark, sf_dir):
+    m = moments(_part(spark, sf_dir), *PART)
+    found = back_substitution(cholesky(m.gram / m.n).T, m.cross / m.n)
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(found)], "i int, v double").select("i", rounded("v", 4).alias("v"))
+
+
 # Targets, weights, validation.
 
 
@@ -534,3 +610,137 @@ def integers(spark, sf_dir):
     df = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_quantity")
     x = as_integers(array_of(["l_extendedprice", "l_quantity"]))
     return df.select("l_orderkey", F.get(x, F.lit(0)).alias("price"), F.get(x, F.lit(1)).alias("quantity"), sample_weight(df, None).alias("weight"))
+
+
+def _outcome(act: Callable[[], object]) -> str:
+    try:
+        act()
+    except ValueError as e:
+        return type(e).__name__
+    return "fine"
+
+
+def _rows(spark, rows, schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+@query("SELECT 'embeddings' AS name, max(len(embedding)) AS n FROM embeddings UNION ALL SELECT 'part', 2")
+def feature_counts(spark, sf_dir):
+    return _rows(spark, [("embeddings", num_features(_vectors(spark, sf_dir), "embedding")), ("part", num_features(_part(spark, sf_dir), PART[0]))], "name string, n bigint")
+
+
+@query("SELECT 'equal' AS name, 'fine' AS outcome UNION ALL SELECT 'columns against array', CASE WHEN max(len(embedding)) = 2 THEN 'fine' ELSE 'ValueError' END FROM embeddings")
+def features_consistent(spark, sf_dir):
+    part, vectors = _part(spark, sf_dir), _vectors(spark, sf_dir)
+    return _rows(spark, [("equal", _outcome(lambda: check_features_consistency(part, part, PART[0]))), ("columns against array", _outcome(lambda: check_features_consistency(part, vectors, PART[0], "embedding")))], "name string, outcome string")
+
+
+@query(f"{_LONG} SELECT i AS vec_id, j AS pos, {_r('v*2')} AS v FROM x")
+def doubles(spark, sf_dir):
+    x = _vectors(spark, sf_dir).select("vec_id", F.posexplode(as_doubles("embedding")).alias("pos", "v"))
+    return x.select("vec_id", "pos", rounded(F.col("v") * 2).alias("v"))
+
+
+@query("SELECT false AS is_multilabel FROM labels LIMIT 1")
+def multilabel(spark, sf_dir):
+    return _rows(spark, [(is_multilabel(read_table(spark, sf_dir, "labels"), "quality"),)], "is_multilabel boolean")
+
+
+@query("SELECT 'quality' AS name, 'fine' AS outcome UNION ALL SELECT 'price', CASE WHEN bool_and(p_retailprice = floor(p_retailprice)) THEN 'fine' ELSE 'ValueError' END FROM part")
+def classification_targets(spark, sf_dir):
+    given = [("quality", "labels", "quality"), ("price", "part", "p_retailprice")]
+    return _rows(spark, [(n, _outcome(lambda t=t, c=c: check_classification_targets(read_table(spark, sf_dir, t), c))) for n, t, c in given], "name string, outcome string")
+
+
+# The estimator protocol.
+
+
+def _parameters(spark, estimator: Estimator) -> DataFrame:
+    return _rows(spark, [(k, str(v)) for k, v in estimator.get_params().items()], "name string, value string")
+
+
+_DEFAULTS = "SELECT unnest(['features','target','alpha','fit_intercept','copy_X','max_iter','tol','solver']) AS name, unnest(['x','y','{}','True','True','1000','0.0001','{}']) AS value"
+
+
+@query(_DEFAULTS.format("1.0", "auto"))
+def parameters(spark, sf_dir):
+    return _parameters(spark, Ridge("x", "y"))
+
+
+@query(_DEFAULTS.format("5.0", "cholesky") + " UNION ALL SELECT 'no such parameter', 'ValueError'")
+def parameters_set(spark, sf_dir):
+    model = Ridge("x", "y")
+    wrong = _rows(spark, [("no such parameter", _outcome(lambda: model.set_params(nothing=1)))], "name string, value string")
+    return _parameters(spark, model.set_params(alpha=5.0, solver="cholesky")).unionByName(wrong)
+
+
+@query(_DEFAULTS.format("3.0", "auto") + " UNION ALL SELECT 'fitted', 'NotFittedError'")
+def cloned(spark, sf_dir):
+    """A clone of a fitted model has its parameters, but not its fit."""
+    model = Ridge(*PART, alpha=3.0).fit(_part(spark, sf_dir)).set_params(features="x", target="y")
+    twin = clone(model)
+    return _parameters(spark, twin).unionByName(_rows(spark, [("fitted", _outcome(lambda: check_is_fitted(twin, "coef_")))], "name string, value string"))
+
+
+@query("SELECT 'before' AS name, 'NotFittedError' AS outcome UNION ALL SELECT 'after', 'fine' UNION ALL SELECT 'another attribute', 'NotFittedError'")
+def fitted_checks(spark, sf_dir):
+    scaler, df = StandardScaler(COLUMNS), _events(spark, sf_dir)
+    before = _outcome(lambda: check_is_fitted(scaler))
+    scaler.fit(df)
+    return _rows(spark, [("before", before), ("after", _outcome(lambda: check_is_fitted(scaler))), ("another attribute", _outcome(lambda: check_is_fitted(scaler, ["coef_"])))], "name string, outcome string")
+
+
+class _Stamp(ClassifierMixin, Estimator):
+    """A classifier that says of every row what another column says."""
+
+    def __init__(self, target: str, column: str):
+        self.target, self.column = target, column
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("prediction", F.col(self.column))
+
+
+@query(f"WITH {_TWO} SELECT {_r('avg((y=p)::INTEGER)')} AS accuracy FROM t")
+def classifier_score(spark, sf_dir):
+    score = _Stamp("y", "p").score(_two(spark, sf_dir))
+    return _rows(spark, [(score,)], "accuracy double").select(rounded("accuracy").alias("accuracy"))
+
+
+class _Thirds(ClusterMixin, Estimator):
+    def __init__(self, key: str):
+        self.key = key
+
+    def fit(self, df: DataFrame) -> _Thirds:
+        self.labels_ = F.col(self.key) % 3
+        return self
+
+
+@query("SELECT vec_id, vec_id % 3 AS cluster FROM embeddings")
+def cluster_fit_predict(spark, sf_dir):
+    return _Thirds("vec_id").fit_predict(_vectors(spark, sf_dir).select("vec_id"))
+
+
+@query("SELECT unnest(['NotFittedError','ConvergenceWarning','DataDimensionalityWarning','UndefinedMetricWarning','EfficiencyWarning','ValueError']) AS name, unnest(['error','warning','warning','warning','warning','error']) AS kind, unnest(['said','said','said','said','said','said']) AS message")
+def exceptions(spark, sf_dir):
+    """Raised, caught and told by name: the five classes, and the error for bad arguments."""
+    rows = []
+    for kind in (errors.NotFittedError, errors.ConvergenceWarning, errors.DataDimensionalityWarning, errors.UndefinedMetricWarning, errors.EfficiencyWarning, ValueError):
+        try:
+            raise kind("said")
+        except Exception as e:
+            rows.append((type(e).__name__, "warning" if isinstance(e, Warning) else "error", str(e)))
+    return _rows(spark, rows, "name string, kind string, message string")
+
+
+_EXPORTS = (
+    "StandardScaler MinMaxScaler LabelEncoder Normalizer LinearRegression Ridge KFold StratifiedKFold train_test_split mean_squared_error mean_absolute_error r2_score mean_absolute_percentage_error"
+    " explained_variance_score accuracy_score confusion_matrix precision_score recall_score f1_score log_loss check_array check_xy type_of_target unique_labels compute_class_weight compute_sample_weight clone check_is_fitted"
+)
+
+
+@query(f"SELECT unnest(string_split('{_EXPORTS}', ' ')) AS name, true AS exported")
+def exports(spark, sf_dir):
+    """What a user imports from the package's root."""
+    import tessara
+
+    return _rows(spark, [(n, hasattr(tessara, n)) for n in _EXPORTS.split()], "name string, exported boolean")

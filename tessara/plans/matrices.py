@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
+#: Columns up to which gram() works on dense rows.
+DENSE = 2048
+
 
 def long_form(df: DataFrame, key: str, column: str) -> DataFrame:
     """Rows of an array column as entries (key, position, value)."""
@@ -24,8 +31,32 @@ def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def gram(a: DataFrame) -> DataFrame:
-    """A'A of a long matrix."""
-    return matmul(transpose(a), a)
+    """A'A of a long matrix whose columns are numbered from 0.
+
+    Up to DENSE columns, each row's entries are brought together and multiplied
+    in dense blocks, whose sums alone are shuffled; wider matrices are joined.
+    """
+    width = a.agg(F.coalesce(F.max("j"), F.lit(-1)).alias("j")).first()["j"] + 1
+    if width > DENSE:
+        return matmul(transpose(a), a)
+    ship(a.sparkSession)
+    rows = a.groupBy("i").agg(F.collect_list("j").alias("j"), F.collect_list("v").alias("v")).select("j", "v")
+
+    def run(batches):
+        total, seen = np.zeros((width, width)), np.zeros(width, bool)
+        for b in batches:
+            for part in (b.slice(k, 1024) for k in range(0, b.num_rows, 1024)):
+                at = np.repeat(np.arange(part.num_rows), part.column("j").value_lengths().to_numpy())
+                x, j = np.zeros((part.num_rows, width)), part.column("j").flatten().to_numpy()
+                np.add.at(x, (at, j), part.column("v").flatten().to_numpy(zero_copy_only=False))
+                total += x.T @ x
+                seen[j] = True
+        i, j = np.nonzero(seen[:, None] & seen[None, :])
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], names=["i", "j", "v"])
+
+    found = rows.mapInArrow(run, "i bigint, j bigint, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    kind = a.schema["j"].dataType
+    return found.select(F.col("i").cast(kind).alias("i"), F.col("j").cast(kind).alias("j"), "v")
 
 
 def add_diagonal(a: DataFrame, alpha: float) -> DataFrame:
