@@ -45,20 +45,58 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def materialize(df: DataFrame, gather: bool = False) -> DataFrame:
+#: Estimated bytes that a file of an intermediate table takes, when its number of files is chosen.
+FILE_BYTES = 16 << 20
+_written: dict[str, SparkSession] = {}
+
+
+def bytes_of(df: DataFrame) -> int:
+    """Catalyst's estimate of the size of ``df``."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def files_for(n_bytes: int, spark: SparkSession) -> int:
+    """A number of files that follows the size; a task for each core at least. An unknown size counts as very large."""
+    return max(spark.sparkContext.defaultParallelism, min(1 << 24, -(-n_bytes // FILE_BYTES)))
+
+
+def materialize(df: DataFrame, gather: bool = False, files: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
     ``gather`` is for small results of many tasks: they are dealt anew to
     partitions of Spark's advisory size first, so as not to leave a file each.
+    ``files`` bounds the files without a shuffle: neighbouring partitions are
+    written by one task, one after another.
     """
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_dir(spark)}/tessara-{uuid.uuid4().hex}"
-    (df.hint("rebalance") if gather else df).write.parquet(path)
-    atexit.register(_remove, spark, path)
+    out = df.hint("rebalance") if gather else df
+    (out.coalesce(files) if files else out).write.parquet(path)
+    if not _written:
+        atexit.register(release, [])
+    _written[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables() -> list[str]:
+    """Paths of the intermediate tables that are still there."""
+    return list(_written)
+
+
+def release(keep: list[str]) -> None:
+    """Remove the intermediate tables but those at the paths of ``keep``; none of the others may be read again."""
+    for path in [p for p in _written if p not in keep]:
+        _remove(_written.pop(path), path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table that materialize() made for ``df``, which nothing may read any more."""
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        for path in [p for p in _written if name.endswith(p) or p.endswith(name)]:
+            _remove(_written.pop(path), path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     if context._jsc is None or context._jsc.sc().isStopped():

@@ -122,8 +122,10 @@ ORACLES: dict[str, str] = {
         f AS (SELECT doc_id, line, trim(regexp_replace(raw, '[\x09-\x0D]', ' ', 'g')) AS t FROM l),
         w AS (SELECT doc_id, line, t, len(regexp_split_to_array(t, ' +')) AS n FROM f WHERE t <> ''),
         b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w),
-        s AS (SELECT doc_id, line, max(line) OVER r AS last, sum(n) OVER r AS total, string_agg(t, chr(10)) OVER r AS run FROM b WINDOW r AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 50 FOLLOWING)),
-        k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, line) AS c FROM s WHERE total >= 51),
+        e AS (SELECT *, before + n AS upto FROM b),
+        s AS (SELECT 0 AS kind, doc_id, line, max(line) OVER r AS last, sum(n) OVER r AS total, string_agg(t, chr(10)) OVER r AS run FROM e WINDOW r AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 50 FOLLOWING)
+              UNION ALL SELECT 1, doc_id, min(line) OVER r, line, sum(n) OVER r, string_agg(t, chr(10)) OVER r FROM e WINDOW r AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN 50 PRECEDING AND CURRENT ROW)),
+        k AS (SELECT *, row_number() OVER (PARTITION BY kind, run ORDER BY doc_id, line) AS c FROM s WHERE total >= 51),
         g AS (SELECT DISTINCT doc_id, unnest(range(line, last + 1)) AS line FROM k WHERE c > 1),
         n AS (SELECT l.doc_id, count(g.line) AS n_deleted, coalesce(string_agg(raw, chr(10) ORDER BY l.line) FILTER (WHERE g.line IS NULL), '') AS kept FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.line = g.line GROUP BY l.doc_id)
         SELECT d.doc_id, len(ls)::BIGINT AS n_lines, n_deleted::BIGINT AS n_deleted, CASE WHEN n_deleted > 0 THEN kept ELSE text END AS text FROM d JOIN n USING (doc_id)

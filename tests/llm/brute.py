@@ -83,24 +83,25 @@ def similar(texts, threshold=0.8):
 
 
 def without_later_runs(docs, least=51):
-    """{(doc_id, text): text left} for distinct documents in order."""
+    """{(doc_id, text): text left} for distinct documents in order.
+
+    By the definition: every run of lines of at least ``least`` words that also starts at an earlier place goes.
+    """
     docs = sorted(set(docs), key=lambda d: (d[0] is not None, d[0]))
-    seen, out = set(), {}
-    for doc in docs:
+    first, out = {}, {}
+    for n, doc in enumerate(docs):
         lines = (doc[1] or "").split("\n")
         full = [(k, x) for k, x in ((k, x.strip(" \t\n\v\f\r")) for k, x in enumerate(lines)) if x]
-        gone = set()
+        size, gone = [len(TOKEN.findall(x)) for _, x in full], set()
         for a in range(len(full)):
-            b = n = 0
-            while a + b < len(full) and n < least:
-                n += len(TOKEN.findall(full[a + b][1]))
-                b += 1
-            if n < least:
-                break
-            key = tuple(x for _, x in full[a : a + b])
-            if key in seen:
-                gone.update(range(full[a][0], full[a + b - 1][0] + 1))
-            seen.add(key)
+            words, name, last = 0, 0, None
+            for b in range(a, len(full)):
+                words += size[b]
+                name = hash((name, full[b][1]))
+                if words >= least and first.setdefault(name, (n, a)) != (n, a):
+                    last = b
+            if last is not None:
+                gone.update(range(full[a][0], full[last][0] + 1))
         out[doc] = None if doc[1] is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)
     return out
 
