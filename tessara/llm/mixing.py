@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize
+from .common import bytes_of, files_for, join_small, materialize
 
 #: A prime above any number of blocks in a shard: a step through blocks that meets each one once.
 STEP = 2147483629
@@ -88,13 +88,13 @@ def mix_sources(
     count each. An empty table gives no rows. Other columns are not read.
     """
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    sized = materialize(sized)
+    sized = materialize(sized, files=files_for(bytes_of(sized), docs.sparkSession))
     # A key that is never null, so that joins and windows can use it.
     keyed = sized.withColumn("skey", F.concat(F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.lit("0")), F.coalesce("source", F.lit(""))))
     sources = keyed.groupBy("skey", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     sources = source_targets(sources, weights, share, max_repeat)
     sources = sainte_lague(sources.withColumn("__one", F.lit(1)), ["__one"], ["skey"], "target", F.floor(F.sum("target").over(Window.partitionBy("__one")) / block_words + 0.5).cast("bigint"))
-    sources = materialize(sources.select("skey", "source_size", "target", F.col("quota").alias("source_quota"), F.ceil(F.col("n_docs") / shard_docs).cast("int").alias("n_shards")))
+    sources = materialize(sources.select("skey", "source_size", "target", F.col("quota").alias("source_quota"), F.ceil(F.col("n_docs") / shard_docs).cast("int").alias("n_shards")), files=1)  # a row for each source
     rows = join_small(keyed, sources, ["skey"]).withColumn("order", hashed(F.lit(seed), "doc_id", "size"))
     rows = rows.withColumn("shard", F.pmod(F.shiftrightunsigned("order", 7), "n_shards").cast("int"))
     cells = rows.groupBy("skey", "shard").agg(F.sum("size").alias("words"), F.first("source_quota").alias("source_quota"))
