@@ -47,12 +47,12 @@ def _lines(docs: DataFrame) -> DataFrame:
 def _pieces(docs: DataFrame, min_words: int, files: int) -> DataFrame:
     """One row per piece: document, its lines and words, names packed, and their fingerprint."""
     lines = materialize(_lines(docs))
-    place = F.struct("doc", "key", "i")
+    place = F.xxhash64("doc", "key", "i")
     # Rows equal in doc_id and text are one document, so a place may occur twice.
     names = lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     names = materialize(names.where("first <> last").select("a", "b"), files=files)
     maybe = flagged(lines, "a", names, "a").where("__maybe").drop("__maybe")
-    repeated = maybe.join(names, ["a", "b"], "left_semi").dropDuplicates(["key", "doc", "i"])
+    repeated = maybe.join(names.hint("merge"), ["a", "b"], "left_semi").dropDuplicates(["key", "doc", "i"])
     own = Window.partitionBy("key", "doc").orderBy("i")
     begins = F.when(F.col("i") - F.lag("i").over(own) == 1, 0).otherwise(1)
     repeated = repeated.withColumn("begins", begins).withColumn("piece", F.sum("begins").over(own))
@@ -239,7 +239,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 51) -> DataFrame:
     keyed = docs.select(*kept, n_lines.alias("n_lines"), F.xxhash64("doc_id", F.col("text").cast("string")).alias("__k"))
     keyed = flagged(keyed, "__k", cut, "__key")
     plain = F.lit(0).cast("bigint").alias("n_deleted")
-    doubted = keyed.where("__maybe").join(cut, (F.col("__k") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
+    # Merged at every size: what is broadcast would grow with the input.
+    doubted = keyed.where("__maybe").join(cut.hint("merge"), (F.col("__k") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
     hit = doubted.where("__cut is not null").select(*kept, "n_lines", "__cut")
     place = kept.index("text")
 
