@@ -1,11 +1,12 @@
 """Quality classifier: nearest-neighbour voting over latent-semantic vectors.
 
-Terms are word shapes (runs of lower-case letters, capitals and digits become
-one letter each, other characters stay), frequent words, and bins of how much
-a text repeats itself. Term weights of a bounded sample of labelled documents
-give a latent space by eigenvectors of their scatter matrix. Every document's
-exact cosines with all sampled vectors are computed in blocks, and its nearest
-neighbours vote with a power of their similarity.
+Terms are the words of a text, their shapes (runs of lower-case letters,
+capitals and digits become one character each, others stay), and a word said
+again at once, two or three times in a row. Words and shapes are taken whole.
+Term weights of a bounded sample of labelled documents give a latent space by
+eigenvectors of their scatter matrix. Every document's exact cosines with all
+sampled vectors are computed in blocks, and its nearest neighbours vote with a
+power of their similarity.
 """
 
 from __future__ import annotations
@@ -29,48 +30,37 @@ SAMPLE, TERMS, DIMENSIONS = 4000, 1000, 64
 NEIGHBOURS, POWER = 15, 16
 #: Texts are vectorised and compared in blocks of so many.
 BLOCK = 512
+#: Words whose terms are remembered, and their longest; others are worked out again.
+REMEMBERED, LONGEST = 200_000, 64
 _DIGITS = re.compile(r"\d+")
 _LOWER = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+")
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]+")
-_cache: dict[str, str] = {}
 
 
 def shape(word: str) -> str:
-    """Letters, capitals and digits each as one character, other characters as they are; 12 at most."""
-    s = _cache.get(word)
-    if s is None:
-        s = _DIGITS.sub("9", _UPPER.sub("A", _LOWER.sub("a", word[:64])))[:12]
-        if len(_cache) > 200_000:
-            _cache.clear()
-        _cache[word] = s
-    return s
+    """Runs of letters, capitals and digits each as one character, other characters as they are."""
+    return _DIGITS.sub("9", _UPPER.sub("A", _LOWER.sub("a", word)))
+
+
+def repeats(words: list[str]) -> dict[str, float]:
+    """Relative frequencies of a word said twice, and three times, in a row."""
+    twice = list(map(eq, words, islice(words, 1, None)))
+    n, again = len(words), sum(twice)
+    out = {"=2": again / n} if again else {}
+    thrice = sum(map(and_, twice, islice(twice, 1, None))) if again > 1 else 0
+    return out | ({"=3": thrice / n} if thrice else {})
 
 
 def terms_of(text: str | None) -> dict[str, float]:
-    """Relative frequencies of shapes and of words, and bins of repetition, of the whole text."""
+    """Relative frequencies of the terms of the whole text."""
     words = (text or "").split()
-    counts, n = Counter(words), len(words)
-    if not n:
+    if not words:
         return {}
     out: dict[str, float] = {}
-    for word, c in counts.items():
-        s = "s" + shape(word)
-        out[s] = out.get(s, 0.0) + c / n
-        if len(word) < 12:
-            out["w" + word.lower()] = out.get("w" + word.lower(), 0.0) + c / n
-    # The expected share of distinct words falls with the length, so bins are of their exponent.
-    exponent = np.log(len(counts)) / np.log(n) if n > 1 else 1.0
-    fine = exponent * 20
-    for k in range(-1, 2):
-        out[f"u{int(fine) + k}"] = 0.1 * (1 - abs(fine - int(fine) - 0.5 - k) / 2)
-    twice = list(map(eq, words, islice(words, 1, None)))
-    out[f"r{min(10, int(40 * sum(twice) / n))}"] = 0.3
-    thrice = sum(map(and_, twice, islice(twice, 1, None)))  # even a few in a long text tell
-    out[f"t{min(5, thrice.bit_length())}"] = 0.5
-    out[f"c{min(9, int(10 * max(counts.values()) / n))}"] = 0.1
-    letters = sum(len(w) * c for w, c in counts.items()) / n
-    out[f"l{min(20, int(letters))}"] = 0.05
-    return out
+    for word, c in Counter(words).items():
+        for t in ("s" + shape(word), "w" + word.lower()):
+            out[t] = out.get(t, 0.0) + c / len(words)
+    return out | repeats(words)
 
 
 class LatentVoter:
@@ -79,6 +69,7 @@ class LatentVoter:
     def __init__(self, terms: list[str], x: np.ndarray, labels: np.ndarray):
         """``x``: a row of term frequencies per labelled document; it is worked on in place."""
         self.terms = {t: k for k, t in enumerate(terms)}
+        self._places: dict[str, tuple[int, ...]] = {}
         self.idf = np.ones(len(terms), np.float32)
         self.labels = labels.astype(np.float32)
         self.prior = float(self.labels.mean()) if len(labels) else 0.5
@@ -104,15 +95,33 @@ class LatentVoter:
     def _weighted(self, x: np.ndarray) -> np.ndarray:
         return self._unit(np.sqrt(x) * self.idf)
 
+    def _row(self, text: str | None) -> np.ndarray:
+        """As terms_of(), with the places of known terms remembered by word."""
+        words, known, places = (text or "").split(), self.terms, self._places
+        row = np.zeros(len(known))
+        if words:
+            at, weight = [], []
+            for word, c in Counter(words).items():
+                own = places.get(word)
+                if own is None:
+                    own = tuple(known[t] for t in ("s" + shape(word), "w" + word.lower()) if t in known)
+                    if len(word) <= LONGEST:
+                        if len(places) >= REMEMBERED:
+                            places.clear()
+                        places[word] = own
+                for k in own:
+                    at.append(k)
+                    weight.append(c)
+            np.add.at(row, at, weight)
+            row /= len(words)
+            for t, v in repeats(words).items():
+                if t in known:
+                    row[known[t]] = v
+        return row.astype(np.float32)
+
     def score(self, texts: list[str | None]) -> np.ndarray:
         """The share of label 1 in the neighbours' votes; the labels' mean where nothing is similar."""
-        x = np.zeros((len(texts), len(self.terms)), np.float32)
-        known = self.terms.get
-        for r, text in enumerate(texts):
-            for t, v in terms_of(text).items():
-                k = known(t)
-                if k is not None:
-                    x[r, k] = v
+        x = np.stack([self._row(text) for text in texts]) if len(texts) else np.zeros((0, len(self.terms)), np.float32)
         latent = self._unit(self._weighted(x) @ self.space)
         cosine = latent @ self.vectors.T
         k = min(NEIGHBOURS, cosine.shape[1])
