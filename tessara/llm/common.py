@@ -50,6 +50,10 @@ FILE_BYTES = 16 << 20
 _written: dict[str, SparkSession] = {}
 
 
+#: Estimates from here on say that the size is not known.
+UNKNOWN = 1 << 56
+
+
 def bytes_of(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df``."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -136,6 +140,11 @@ def flagged(df: DataFrame, key: str, members: DataFrame, member_key: str) -> Dat
     return out.withColumn("__maybe", F.coalesce(F.col("__bits").bitwiseAND(bit(key)) != 0, F.lit(False))).drop("__word", "__bits")
 
 
+def let(value, body):
+    """``body(value)`` with the value computed once, not again at each of its uses inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def byte_class(wanted) -> np.ndarray:
     return np.array([bool(wanted(b)) for b in range(256)])
 

@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKEN_BYTES, hashed_words, materialize, mix, slices
+from .common import TOKEN_BYTES, UNKNOWN, bytes_of, hashed_words, materialize, mix, slices
 from .elias_fano import LEVELS, Trie
 
-#: Bytes of text in a chunk.
-CHUNK = 4 << 20
+#: Bytes of text in a chunk, and of the table of texts for each shard.
+CHUNK, SHARD = 4 << 20, 8 << 20
 MUS = (30.0, 300.0, 3000.0, 30_000.0, 300_000.0)
 BEGIN, END = np.uint64(0x5D0C3A1F77B2E649), np.uint64(0x2E8B1D94C6F05A33)
-#: Bits of a context's and of a successor's name.
+#: Bits of a context's and of a successor's name; the shard adds to both.
 CONTEXT_BITS, WORD_BITS = 28, 36
 
 
@@ -64,7 +64,7 @@ def _unpack_keys(blob: bytes) -> np.ndarray:
 class Chunk:
     """The tokens of some texts: each text's words, then its end."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, shards: int):
         h, row, _, _ = hashed_words(raw, offsets, TOKEN_BYTES)
         n = len(offsets) - 1
         size = np.bincount(row, minlength=n) + 1
@@ -76,7 +76,9 @@ class Chunk:
         before[(self.past - size)[: n]] = BEGIN
         self.words, self.word = np.unique(word, return_inverse=True)
         pair = (mix(before) >> np.uint64(64 - CONTEXT_BITS)) << np.uint64(WORD_BITS) | mix(word * np.uint64(3)) >> np.uint64(64 - WORD_BITS)
-        self.pairs, self.pair = np.unique(pair, return_inverse=True)
+        self.pairs, one, self.pair = np.unique(pair, return_index=True, return_inverse=True)
+        self.word_shard = word_shard(self.words, shards)
+        self.pair_shard = pair_shard(before[one], word[one], shards)
         known = np.searchsorted(self.words, before)
         known[before == BEGIN] = np.searchsorted(self.words, END)
         self.before = known  # a beginning is as frequent as an end
@@ -86,12 +88,15 @@ def word_shard(words: np.ndarray, shards: int) -> np.ndarray:
     return ((words >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
 
 
-def pair_shard(pairs: np.ndarray, shards: int) -> np.ndarray:
-    """A grid over contexts and successors: a hot context is spread over a row of it."""
+def pair_shard(contexts: np.ndarray, words: np.ndarray, shards: int) -> np.ndarray:
+    """A grid over contexts and successors: a hot context is spread over a row of it.
+
+    It goes by other bits of the hashes than the names of a pair, so a pair is
+    told from others by its shard too: names grow as the shards do.
+    """
     across = max(1, math.isqrt(shards))
     down = shards // across
-    context, word = pairs >> np.uint64(WORD_BITS), pairs & np.uint64((1 << WORD_BITS) - 1)
-    return ((context % np.uint64(down)) * np.uint64(across) + word % np.uint64(across)).astype(np.int64)
+    return ((mix(contexts + np.uint64(11)) % np.uint64(down)) * np.uint64(across) + mix(words + np.uint64(13)) % np.uint64(across)).astype(np.int64)
 
 
 def _chunks(docs: DataFrame, train) -> DataFrame:
@@ -113,19 +118,19 @@ def _chunks(docs: DataFrame, train) -> DataFrame:
     return source.mapInArrow(run, f"chunk bigint, ids array<{id_type}>, train array<boolean>, offsets binary, raw binary")
 
 
-def _opened(offsets: bytes, raw: bytes, n: int) -> Chunk:
+def _opened(offsets: bytes, raw: bytes, n: int, shards: int) -> Chunk:
     places = _unpack(offsets, n + 1, np.int64)
-    return Chunk(_unpack(raw, int(places[-1]), np.uint8), places)
+    return Chunk(_unpack(raw, int(places[-1]), np.uint8), places, shards)
 
 
 def _requests(chunks: DataFrame, shards: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for chunk, train, offsets, raw in zip(*(batch.column(c).to_pylist() for c in ("chunk", "train", "offsets", "raw"))):
-                c = _opened(offsets, raw, len(train))
+                c = _opened(offsets, raw, len(train), shards)
                 seen = np.array(train, np.float64)[c.doc]
                 rows = []
-                for keys, inverse, shard in ((c.words, c.word, word_shard(c.words, shards)), (c.pairs, c.pair, pair_shard(c.pairs, shards))):
+                for keys, inverse, shard in ((c.words, c.word, c.word_shard), (c.pairs, c.pair, c.pair_shard)):
                     counts = np.bincount(inverse, seen, len(keys)).astype(np.uint32)
                     order = np.argsort(shard, kind="stable")
                     edges = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -204,7 +209,9 @@ def score_texts(docs: DataFrame, train=None, shards: int | None = None) -> DataF
     are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = bytes_of(docs.select("text"))
+    if not shards:
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD) if size < UNKNOWN else 0)
     chunks = materialize(_chunks(docs, F.coalesce(train, F.lit(True)) if train is not None else F.lit(True)))
     answers = materialize(_answers(_requests(chunks, shards), shards))
     total = answers.where("chunk = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
@@ -215,9 +222,9 @@ def score_texts(docs: DataFrame, train=None, shards: int | None = None) -> DataF
 
     def scored(head, parts):
         ids, train_flags = head[4], head[5]
-        c = _opened(head[0], head[2], len(train_flags))
+        c = _opened(head[0], head[2], len(train_flags), shards)
         count, code = np.zeros(len(c.words)), np.zeros(len(c.pairs), np.uint8)
-        word_of, pair_of = word_shard(c.words, shards), pair_shard(c.pairs, shards)
+        word_of, pair_of = c.word_shard, c.pair_shard
         word_order, pair_order = np.argsort(word_of, kind="stable"), np.argsort(pair_of, kind="stable")
         word_edge, pair_edge = (np.searchsorted(s[o], np.arange(shards + 1)) for s, o in ((word_of, word_order), (pair_of, pair_order)))
         for shard, w, n_w, p, n_p in parts:
