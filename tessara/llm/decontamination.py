@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from .common import LOWER_TABLE, WORD_BYTES, hashed_words, materialize, slices, windows
+from .common import LOWER_TABLE, WORD_BYTES, hashed_words, let, materialize, slices, windows
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: Windows of the benchmark up to which they are broadcast.
-BROADCAST_WINDOWS = 2_000_000
+#: Bytes of the window set up to which it is broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def words_of(text: str | None) -> list[str]:
@@ -28,30 +29,32 @@ class WindowSet:
     """Hashes of all benchmark windows, with their words and items for verifying."""
 
     def __init__(self, items: list[tuple[str, str]], n: int):
-        found: dict[tuple[str, ...], set[str]] = {}
-        for item, text in items:
-            w = words_of(text)
-            for i in range(max(1, len(w) - n + 1) if w else 0):
-                found.setdefault(tuple(w[i : i + n]), set()).add(item)
-        self.by_length: dict[int, tuple[np.ndarray, list[tuple[bytes, list[str]]]]] = {}
-        for length in sorted({len(w) for w in found}):
-            own = [w for w in found if len(w) == length]
-            h = np.array([self._hash(w) for w in own], np.uint64)
-            order = np.argsort(h, kind="stable")
-            self.by_length[length] = h[order], [(" ".join(own[k]).encode(), sorted(found[own[k]])) for k in order]
-
-    @staticmethod
-    def _hash(words: tuple[str, ...]) -> int:
-        raw = np.frombuffer(" ".join(words).encode(), np.uint8)
-        h, row, _, _ = hashed_words(raw, np.array([0, len(raw)]), WORD_BYTES)
-        return int(windows(h, row, len(words))[0][0])
+        self.items = sorted({item for item, _ in items})
+        number = {item: k for k, item in enumerate(self.items)}
+        said = [(number[item], " ".join(words_of(text)).encode()) for item, text in items]
+        self.text = b"".join(raw + b" " for _, raw in said)
+        parts: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        at = 0
+        for item, raw in said:
+            h, row, first, past = hashed_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), WORD_BYTES)
+            length = min(n, len(h))
+            if length:
+                found, begin = windows(h, row, length)
+                parts.setdefault(length, []).append((found, at + first[begin], at + past[begin + length - 1], np.full(len(found), item)))
+            at += len(raw) + 1
+        # By length: hashes in order, and where a window's words are in the text, and its item's number.
+        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
+        for length, found in sorted(parts.items()):
+            columns = [np.concatenate(c) for c in zip(*found)]
+            order = np.argsort(columns[0], kind="stable")
+            self.by_length[length] = tuple(c[order] for c in columns)
 
     def scan(self, raw, offsets):
         """For each row with hits: (row, words hit, items, [(first byte, past byte)]), and words per row."""
         h, row, first, past = hashed_words(raw, offsets, WORD_BYTES)
         hit = np.zeros(len(h) + 1, np.int64)
         items: dict[int, set[str]] = {}
-        for length, (known, verify) in self.by_length.items():
+        for length, (known, begin, end, item) in self.by_length.items():
             found, at = windows(h, row, length)
             place = np.searchsorted(known, found)
             place[place == len(known)] = 0
@@ -59,10 +62,10 @@ class WindowSet:
                 i, p = int(at[k]), int(place[k])
                 said = b" ".join(raw[a:b].tobytes().translate(LOWER_TABLE) for a, b in zip(first[i : i + length], past[i : i + length]))
                 while p < len(known) and known[p] == found[k]:  # equal hashes of different words stand side by side
-                    if verify[p][0] == said:
+                    if self.text[begin[p] : end[p]] == said:
                         hit[i] += 1
                         hit[i + length] -= 1
-                        items.setdefault(int(row[i]), set()).update(verify[p][1])
+                        items.setdefault(int(row[i]), set()).add(self.items[item[p]])
                     p += 1
         covered = np.cumsum(hit[:-1]) > 0
         n_words = np.bincount(row, minlength=len(offsets) - 1)
@@ -82,8 +85,13 @@ def _window_set(benchmark: DataFrame, n: int) -> WindowSet:
 
 
 def _size(benchmark: DataFrame) -> int:
-    """An upper bound of the number of windows: half the characters."""
-    return int(benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // 2 + 1
+    """An upper bound of the window set's bytes: its text, and 32 for each window; a window begins every other byte at most."""
+    return 17 * int(benchmark.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string")) + 2), F.lit(0))).first()[0])
+
+
+def _least(share: float) -> tuple[int, int]:
+    """The share as an exact fraction of its decimal digits."""
+    return Fraction(str(share)).as_integer_ratio()
 
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: float = 0.05, key: str = "doc_id") -> DataFrame:
@@ -95,10 +103,10 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: fl
     empty texts have no words; repeated rows are scanned each; an empty
     benchmark hits nothing. Only ``key`` and ``text`` are read.
 
-    The windows are broadcast while their number is within BROADCAST_WINDOWS;
+    The windows are broadcast while their size is within BROADCAST_BYTES;
     a larger benchmark is joined by shuffling the windows of both sides.
     """
-    if _size(benchmark) > BROADCAST_WINDOWS:
+    if _size(benchmark) > BROADCAST_BYTES:
         return _scan_by_join(docs, benchmark, n, share, key)
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(_window_set(benchmark, n))
@@ -125,7 +133,8 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: fl
 
 
 def _judged(found: DataFrame, share: float) -> DataFrame:
-    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * F.lit(round(1 / share)) >= F.col("n_words")))
+    part, whole = _least(share)
+    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * F.lit(whole) >= F.col("n_words") * F.lit(part)))
 
 
 def _scan_by_join(docs: DataFrame, benchmark: DataFrame, n: int, share: float, key: str) -> DataFrame:
@@ -168,22 +177,42 @@ def _scan_by_join(docs: DataFrame, benchmark: DataFrame, n: int, share: float, k
     return _judged(found, share).withColumnRenamed("key", key)
 
 
+def without_spans(text, spans):
+    """The text without spans in order (code points); in UTF-32, where a place is found without counting from the start."""
+    edges = F.concat(F.array(F.lit(0).cast("bigint")), F.flatten(F.transform(spans, lambda x: F.array(x["start"], x["end"]))), F.array(F.length(text).cast("bigint")))
+
+    def piece(k, x):
+        a, b = F.get(x["e"], 2 * k), F.get(x["e"], 2 * k + 1)
+        return F.decode(F.substring(x["w"], (4 * a + 1).cast("int"), (4 * (b - a)).cast("int")), "UTF-32")
+
+    return let(F.struct(F.encode(text, "UTF-32").alias("w"), edges.alias("e")), lambda x: F.array_join(F.transform(F.sequence(F.lit(0), F.size(spans)), lambda k: piece(k, x)), ""))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: float = 0.05, action: str = "drop") -> DataFrame:
     """``docs`` without contaminated documents (``drop``), or without the hit spans (``spans``).
 
     All columns stay as they are but the text of a document that loses spans.
+    Null, empty and wordless texts stay; repeated rows are treated alike, each;
+    texts are taken whole; an empty benchmark or an empty table changes nothing.
+    Beyond BROADCAST_BYTES the documents are written once with a row number, by
+    which they meet what the windows found.
     """
     if action not in ("drop", "spans"):
         raise ValueError("action is 'drop' or 'spans'")
-    if _size(benchmark) > BROADCAST_WINDOWS:
-        if action == "spans":
-            raise ValueError("spans are removed with benchmarks within BROADCAST_WINDOWS; use scan_documents")
-        keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-        bad = _scan_by_join(keyed, benchmark, n, share, "__row").where("contaminated").select("__row").distinct()
-        return keyed.join(bad, "__row", "left_anti").drop("__row")
+    if _size(benchmark) > BROADCAST_BYTES:
+        mark = "__row"
+        while mark in docs.columns:
+            mark += "_"
+        keyed = materialize(docs.withColumn(mark, F.monotonically_increasing_id()))
+        found = _scan_by_join(keyed, benchmark, n, share, mark)
+        if action == "drop":
+            return keyed.join(found.where("contaminated").select(mark), mark, "left_anti").select(*docs.columns)
+        hit = found.where("n_hit > 0").select(F.col(mark).alias("__hit"), F.col("spans").alias("__spans"))
+        left = keyed.join(hit, F.col(mark) == F.col("__hit"), "left")
+        return left.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(without_spans(F.col("text").cast("string"), F.col("__spans")))).select(*docs.columns)
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(_window_set(benchmark, n))
-    least = round(1 / share)
+    part, whole = _least(share)
 
     def run(batches):
         for batch in batches:
@@ -193,7 +222,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: flo
                 n_words, found = shared.value.scan(raw, offsets)
                 for r, (hit, _, spans) in found.items():
                     if action == "drop":
-                        keep[a + r] = hit * least < n_words[r]
+                        keep[a + r] = hit * whole < n_words[r] * part
                     else:
                         own, at, parts = raw[offsets[r] : offsets[r + 1]].tobytes(), 0, []
                         for x, y in spans:

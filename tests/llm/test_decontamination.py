@@ -35,13 +35,22 @@ def test_scan_matches_brute_force(frame):
 def test_join_beyond_the_broadcast_bound_agrees(frame, monkeypatch):
     docs, items = frames(frame, [r for r in DOCS if r[0] != 8])
     small = {(r.doc_id, r.n_hit, tuple(r["items"]), tuple(map(tuple, r.spans))) for r in d.scan_documents(docs, items).collect()}
-    monkeypatch.setattr(d, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(d, "BROADCAST_BYTES", 0)
     found = d.scan_documents(docs, items)
     check(found, [r for r in DOCS if r[0] != 8], ITEMS)
     assert {(r.doc_id, r.n_hit, tuple(r["items"]), tuple(map(tuple, r.spans))) for r in found.collect()} == small
     kept = d.decontaminate(docs, items)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {3, 4, 6, 7, 9, 10}
     assert d.scan_documents(docs, items.where("item_id = 4")).where("n_hit > 0").count() == 0
+    cut = d.decontaminate(docs, items, action="spans")
+    assert cut.columns == docs.columns and cut.count() == docs.count() and cut.where("doc_id = 2").first().text == "a  b " + "z " * 10
+
+
+@pytest.mark.parametrize(("share", "kept"), [(0.3, 0), (0.301, 1), (0.7, 1), (0.05, 0)])
+def test_share_is_exact(frame, share, kept):
+    docs, items = frames(frame, [(1, "a b c v v v v v v v")], [(1, "a b c")])
+    assert d.decontaminate(docs, items, share=share).count() == kept
+    assert d.scan_documents(docs, items, share=share).first().contaminated == (not kept)
 
 
 @given(st.lists(st.text("ab c.É", max_size=60), min_size=1, max_size=4), st.lists(st.text("ab c.É", max_size=40), max_size=3))
