@@ -7,7 +7,8 @@ both have is merged, what only one has becomes optional, so the host's wrapper
 is a regular expression without unions. Slots are then ranked by where they
 stand in the wrapper, slots that say the same on all pages are told from those
 that vary, and each page's text is taken from the slots of the best rank that
-the page fills.
+the page fills. Where no article, main or content element tells, the wrapper
+does: its repeated groups of links are menus.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ SALTS = 16
 GROUP = 3
 #: Elements at either end of a deeply nested path.
 DEPTH = 60
+#: The share of a repeated slot's characters inside links from which it is a menu.
+LINKED = 0.8
 #: The rank of slots in no known container.
 LAST = 3
 #: Different pages that must agree before a slot's text counts as the host's own.
@@ -38,7 +41,9 @@ CONSTANT_SHARE = 0.9
 
 # HTML's element names, and words that sites give to what is not the main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea select option button svg math object canvas audio video head title".split())
+RAW = frozenset("script style noscript template iframe textarea select option button svg object canvas audio video head title annotation annotation-xml".split())
+#: Of these, what follows an open one that is never closed is not its content.
+SOFT = frozenset("select option button svg object canvas audio video annotation annotation-xml".split())
 BLOCKS = frozenset("html body p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd div section article main blockquote pre table thead tbody tfoot tr td th caption figure figcaption header footer nav aside form fieldset address details summary dialog center menu search hgroup".split())
 CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "caption", "thead", "tbody", "tfoot"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -48,13 +53,19 @@ AWAY_WORDS = frozenset(
     " breadcrumb breadcrumbs sidebar side widget header masthead topbar footer comment comments commentlist reply replies respond disqus discussion share sharing social related recommended"
     " newsletter subscribe subscription signup login search searchbox popup modal overlay toolbar pagination pager copyright complementary contentinfo form skip".split()
 )
+#: Of AWAY_WORDS, those that must be a class or id of their own, not a part of one.
+WHOLE_WORDS = frozenset("side form discussion".split())
 HOLDERS = frozenset("article main".split())
 HOLDER_WORDS = frozenset("article articlebody content maincontent post postbody entry story main".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _NAMED = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none""", re.I)
+_QUOTED = re.compile(r"""=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+_UNSHOWN = re.compile(r"""\bstyle\s*=\s*(?:"[^"]*display\s*:\s*none|'[^']*display\s*:\s*none|display:none)""", re.I)
+#: What a class says of the state or the surroundings of its element, such as has-sidebar.
+_STATE = re.compile(r"^(?:has|is|no|with|without|long|full)[-_]|[-_](?:layout|page|template|wrapper|container)$", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -91,14 +102,18 @@ def tag_stream(page: str):
         at, name = m.end(), m[2].lower()
         if m[1]:
             yield "close", name, ""
+        elif name in SOFT:
+            end = re.compile(rf"<(/?){re.escape(name)}(?=[\s>/])", re.I).search(page, at)
+            if end and end[1] and not m[3].rstrip().endswith("/"):
+                close = page.find(">", end.end())
+                at = n if close < 0 else close + 1
         elif name in RAW:
-            if not m[3].rstrip().endswith("/") or name not in ("svg", "math"):
-                end = re.compile(rf"</{re.escape(name)}[\s>/]" if name != "head" else r"</head[\s>/]|(?=<body[\s>])", re.I).search(page, at)
-                if end:
-                    close = page.find(">", end.start())
-                    at = end.start() if page[end.start() : end.start() + 5].lower() == "<body" else (n if close < 0 else close + 1)
-                elif name not in ("head", "option", "object"):
-                    return
+            end = re.compile(rf"</{re.escape(name)}[\s>/]" if name != "head" else r"</head[\s>/]|(?=<body[\s>])", re.I).search(page, at)
+            if end:
+                close = page.find(">", end.start())
+                at = end.start() if page[end.start() : end.start() + 5].lower() == "<body" else (n if close < 0 else close + 1)
+            elif name != "head":
+                return
         else:
             yield "open", name, m[3]
 
@@ -109,13 +124,18 @@ def label(name: str, attributes: str) -> str:
     ``-`` before it tells what is never main text, ``+`` what holds main text.
     """
     words: list[str] = []
+    told: set[str] = set()
     if attributes:
         for m in _NAMED.finditer(attributes):
-            value = m[2] or m[3] or m[4] or ""
-            words += _WORD.findall(_CAMEL.sub(" ", value).lower())
-    away = name in AWAY or bool(AWAY_WORDS.intersection(words)) or bool(attributes and _HIDDEN.search(attributes))
-    if name in HOLDERS and not AWAY_WORDS.intersection(words):
-        away = False
+            for given in (m[2] or m[3] or m[4] or "").split():
+                own = _WORD.findall(_CAMEL.sub(" ", given).lower())
+                words += own
+                if name in HOLDERS or len(own) == 1:
+                    told.update(own if len(own) == 1 else ())
+                elif not _STATE.search(given):
+                    told.update(w for w in own if w not in WHOLE_WORDS)
+    hidden = bool(attributes) and bool(_HIDDEN.search(_QUOTED.sub("", attributes)) or _UNSHOWN.search(attributes))
+    away = name not in ("html", "body") and (hidden or bool(AWAY_WORDS & told) or name in AWAY)
     sign = "-" if away else "+" if name in HOLDERS else "*" if HOLDER_WORDS.intersection(words) and name not in ("html", "body") else ""
     return sign + ".".join([name, *words[:4]])
 
@@ -129,22 +149,54 @@ def path_of(labels: list[str]) -> str:
     return "/".join(parts)
 
 
-def blocks(page: str | None):
-    """(path, text) of each run of text of one block element, in page order; text is decoded and trimmed."""
-    stack: list[tuple[str, str]] = []
+def closed(events: list[tuple[str, str, str]]) -> set[int]:
+    """Numbers of the elements, in the order they open, that a tag of their own closes."""
+    opened: dict[str, list[int]] = {}
+    stack: list[tuple[str, int]] = []
+    out, k = set(), 0
+    for kind, name, _ in events:
+        if kind == "open" and name not in VOID:
+            stack.append((name, k))
+            opened.setdefault(name, []).append(k)
+            k += 1
+        elif kind == "close" and opened.get(name):
+            while True:
+                own, at = stack.pop()
+                opened[own].pop()
+                if own == name:
+                    out.add(at)
+                    break
+    return out
+
+
+def linked_blocks(page: str | None):
+    """(path, text, characters inside links) of each run of text of one block element, in page order; text is decoded and trimmed."""
+    events = list(tag_stream(page or ""))
+    ended = closed(events)
+    stack: list[tuple[str, str, bool]] = []
     held: list[str] = []
-    out: list[tuple[str, str]] = []
+    out: list[tuple[str, str, int]] = []
+    number, link, linked = 0, False, 0
 
     def flush():
+        nonlocal linked
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
-                out.append((path_of([x for _, x in stack]), text))
+                out.append((path_of([x for _, x, _ in stack]), text, min(linked, len(text))))
             held.clear()
+        linked = 0
 
-    for kind, name, attributes in tag_stream(page or ""):
+    for kind, name, attributes in events:
+        own_closed = False
+        if kind == "open" and name not in VOID:
+            own_closed = number in ended
+            number += 1
         if kind == "text":
             held.append(name)
+            linked += len(name) if link else 0
+        elif name == "a":
+            link = kind == "open"
         elif name == "br":
             held.append(" ")
         elif name in VOID:
@@ -153,8 +205,8 @@ def blocks(page: str | None):
         elif name not in BLOCKS:
             if kind == "open" and attributes and label(name, attributes).startswith("-"):
                 flush()  # an inline advert or notice is a block of its own
-                stack.append((name, label(name, attributes)))
-            elif kind == "close" and any(n == name for n, _ in stack):
+                stack.append((name, label(name, attributes), own_closed))
+            elif kind == "close" and any(n == name for n, _, _ in stack):
                 flush()
                 while stack.pop()[0] != name:
                     pass
@@ -162,29 +214,31 @@ def blocks(page: str | None):
             flush()
             own = label(name, attributes)
             if name in CLOSES_P:
-                while stack and stack[-1][0] in ("p", *HEADINGS) or stack and stack[-1][0] not in BLOCKS and any(n == "p" for n, _ in stack):
+                while stack and stack[-1][0] in ("p", *HEADINGS) or stack and stack[-1][0] not in BLOCKS and any(n == "p" for n, _, _ in stack):
                     stack.pop()
             if name in ("li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name:
                 stack.pop()
-            if own.startswith("+") and not any(x.startswith("+") for _, x in stack):  # what is open around it was never closed
-                while stack and stack[-1][0] not in ("body", "html"):
-                    if not stack[-1][1].startswith("-"):
-                        break
-                    stack.pop()
-                if any(x.startswith("-") for _, x in stack):
-                    stack[:] = [s for s in stack if s[0] in ("body", "html")]
-            if name in ("html", "body") and any(n == name for n, _ in stack):
+            if own.startswith("+") and any(x.startswith("-") and not e for _, x, e in stack):  # an advert or menu that nothing closed ends here
+                first = next(k for k, (_, x, e) in enumerate(stack) if x.startswith("-") and not e)
+                if not any(x.startswith("+") for _, x, _ in stack[:first]):
+                    stack[first:] = []
+            if name in ("html", "body") and any(n == name for n, _, _ in stack):
                 continue
-            stack.append((name, own))
+            stack.append((name, own, own_closed))
         else:
             flush()
-            if any(n == name for n, _ in stack):
+            if any(n == name for n, _, _ in stack):
                 while stack.pop()[0] != name:
                     pass
     flush()
     return out
 
 
+def blocks(page: str | None):
+    """(path, text) of each run of text of one block element, in page order."""
+    return [(p, t) for p, t, _ in linked_blocks(page)]
+
+
 # A wrapper's element is [label, times, children]; times is "" (once), "?", "+" or "*".
 
 
@@ -258,36 +312,59 @@ def skeleton(found: list[tuple[str, str]]) -> list:
     return folded(root)
 
 
-def slots(wrapper: list, path: str = "") -> dict[str, int]:
-    """Rank of each text slot by its path; slots of what is never main text have none."""
-    out: dict[str, int] = {}
-    for name, _, children in wrapper:
-        if name == "#":
-            rank = slot_rank(path)
-            if rank is not None:
-                out[path] = rank
-        else:
-            out |= slots(children, f"{path}/{name}" if path else name)
+def slots(wrapper: list, path: str = "", repeated: bool = False) -> dict[str, tuple[int | None, bool]]:
+    """By path, each text slot's rank (None for what is never main text), and whether it is in a repeated group of the wrapper."""
+    out: dict[str, tuple[int | None, bool]] = {}
+    for name, times, children in wrapper:
+        again = repeated or times in ("+", "*")
+        own = {path: (slot_rank(path), again)} if name == "#" else slots(children, f"{path}/{name}" if path else name, again)
+        for p, (rank, r) in own.items():
+            out[p] = rank, r or out.get(p, (None, False))[1]
     return out
 
 
 def slot_rank(path: str) -> int | None:
     """0 in an article, 1 in the main element, 2 in what is named as content, LAST elsewhere.
 
-    Of an article's own header its headings are kept.
+    What stands in a menu, a notice or comments is None, an article too; of an
+    article's own header its headings are kept.
     """
     parts = path.split("/")
     holder = max((k for k, p in enumerate(parts) if p.startswith("+")), default=-1)
-    away = [k for k, p in enumerate(parts) if p.startswith("-") and k > holder]
+    away = [k for k, p in enumerate(parts) if p.startswith("-")]
     rank = 2 if any(p.startswith("*") for p in parts) else LAST
     if holder >= 0:
         rank = 0 if any(p.startswith("+article") for p in parts) else 1
     if away:
-        titled = holder >= 0 and len(away) == 1 and "header" in re.split(r"[-.]", parts[away[0]]) and parts[-1].split(".")[0] in HEADINGS
+        titled = 0 <= holder < away[0] and len(away) == 1 and "header" in re.split(r"[-.]", parts[away[0]]) and parts[-1].split(".")[0] in HEADINGS
         return rank if titled else None
     return rank
 
 
+def main_text(found: list[tuple[str, str, int]], rank: dict[str, tuple[int | None, bool]], same: set[tuple[str, int]]) -> list[str]:
+    """The texts of a page's best slots.
+
+    Without a known container, the wrapper decides: slots of its repeated groups
+    that hold hardly anything but links are menus, and slots that say the same
+    on the host's pages (``same``) are the host's own. Neither empties a page.
+    """
+    known = [(rank.get(p, (slot_rank(p), False)), p, t, n) for p, t, n in found]
+    best = min((r for (r, _), _, _, _ in known if r is not None), default=None)
+    if best is None:  # everything stands in what looks like a menu: an article in it is taken after all
+        inside = [(p[p.rindex("+") :], t) for p, t, _ in found if "+" in p]
+        return [t for p, t in inside if slot_rank(p) is not None]
+    taken = [(again, p, t, n) for (r, again), p, t, n in known if r == best]
+    if best == LAST:
+        size, links = {}, {}
+        for again, p, t, n in taken:
+            size[p] = size.get(p, 0) + len(t)
+            links[p] = links.get(p, 0) + n
+        taken = [x for x in taken if not (x[0] and links[x[1]] >= LINKED * size[x[1]])] or taken
+        gone = {p for p, _ in same & set(said_by([(p, t) for _, p, t, _ in taken]).items())}
+        taken = [x for x in taken if x[1] not in gone] or taken
+    return [t for _, _, t, _ in taken]
+
+
 def rendered(wrapper: list) -> str:
     """The wrapper as a regular expression over elements, for reading."""
     return " ".join("#text" + times if name == "#" else f"({name}: {rendered(children)}){times}" if children else name + times for name, times, children in wrapper)
@@ -387,15 +464,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
                         if len(ranks) > 1000:
                             ranks.clear()
                         ranks[wrapper] = slots(json.loads(wrapper))
-                    rank = ranks[wrapper]
-                    found = [(rank[p], p, t) for p, t in blocks(page) if p in rank]
-                    best = min((r for r, _, _ in found), default=0)
-                    taken = [(p, t) for r, p, t in found if r == best]
-                    if best == LAST and constant:
-                        same = set(zip(constant, common)) & set(said_by(taken).items())
-                        gone = {p for p, _ in same}
-                        taken = [(p, t) for p, t in taken if p not in gone] or taken
-                    texts.append(" ".join(t for _, t in taken))
+                    texts.append(" ".join(main_text(linked_blocks(page), ranks[wrapper], set(zip(constant, common)))))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = [f"{c} {source.schema[c].dataType.simpleString()}" for c in ("page_id", "url")]
