@@ -1,20 +1,27 @@
 """Personal data: pattern spans, and terms that disclose them by corpus co-occurrence.
 
 All DataFrame operations. Patterns give the protected entities (e-mail
-addresses, IP addresses, card and phone numbers). Terms near an entity are
+addresses, IP addresses, card and phone numbers), compared in canonical form:
+addresses in lower case, numbers by their digits. Terms near an entity are
 held against the corpus: with n_ct joint occurrences, n_c contexts of the
 entity, n_t occurrences of the term and N words in all, a term tells
 ``PMI = log(n_ct N / (n_c n_t))`` of the ``IC = log(N / n_c)`` that the entity
 holds. A term discloses the entity when ``PMI >= threshold * IC`` and it stands
-with it in two different contexts at least.
+with it in two different contexts at least. A context is up to CONTEXT code
+points on each side of a match, as far as the next match of its kind; the
+joint counts so grow with the matches, not with their pairs. A term that
+discloses is marked wherever it stands in a document that holds the entity.
+
+Places are sums over a text's matches in order, taken by windows; no step goes
+back to the start of a text for each match, so time is linear in its length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize
+from .common import bytes_of, discard, files_for, flagged, join_small, let, materialize
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # ``\G`` (where the last match ended) and the look-behind let a match start only where the
@@ -26,24 +33,39 @@ _PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-TERM = r"\p{L}{4,}"
+#: Words of two characters or more that begin with a letter: names of any script, user names with digits.
+TERM = r"\p{L}[\p{L}\p{N}_]++"
 #: Code points on each side of an entity in which terms are looked at.
 CONTEXT = 80
 
 
-def _found(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches: array of (start, end, m), in code points, end exclusive."""
-    rx = F.lit(pattern)
-    matches = F.regexp_extract_all(text, rx, F.lit(0))
-    pairs = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.greatest(F.size(matches), F.lit(0))), matches, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
-    begin = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,m:string>>))")
+def _matches(text: Column, pattern: str, context: int = 0) -> Column:
+    """Leftmost non-overlapping matches in order: array of (gap, m, before, after).
+
+    gap is the number of code points since the match before; before and after
+    are up to ``context`` code points between the matches, without a word that the limit cuts.
+    """
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces = F.split(text, pattern, -1)
+
+    def row(m, k, pieces):
+        before, after = F.get(pieces, k), F.get(pieces, k + 1)
+        if not context:
+            return F.struct(F.length(before).alias("gap"), m.alias("m"))
+        # The right end by its own length, so that a long piece is read once.
+        left = F.when(F.length(before) > context, F.regexp_replace(F.right(before, F.lit(context)), r"^[\p{L}\p{N}_]+", "")).otherwise(before)
+        right = F.when(F.length(after) > context, F.regexp_replace(F.left(after, F.lit(context)), r"[\p{L}\p{N}_]+$", "")).otherwise(after)
+        return F.struct(F.length(before).alias("gap"), m.alias("m"), left.alias("before"), right.alias("after"))
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"))).alias("out"))
+    return let(F.struct(found.alias("f"), pieces.alias("p")), lambda x: F.transform(x["f"], lambda m, k: row(m, k, x["p"])))
 
-    return F.aggregate(pairs, begin, step, lambda acc: acc["out"])
+
+def _placed(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Matches in rows of their own (``pos``, ``x``) with ``start`` and ``end``, by sums over the group."""
+    own = Window.partitionBy(*group).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    size = F.length("x.m")
+    rows = rows.withColumn("end", F.sum(F.col("x.gap") + size).over(own).cast("int"))
+    return rows.withColumn("start", F.col("end") - size)
 
 
 def _digits(m: Column) -> Column:
@@ -75,65 +97,82 @@ def _holds(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _holder(kind: str):
-    return lambda x: _holds(kind, x["m"])
-
-
-def _numbered(found: Column, k: int) -> Column:
-    return F.transform(found, lambda x: F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m")))
+def _canonical(kind: Column, m: Column) -> Column:
+    """What tells an entity from others, however it is written."""
+    value = F.when(kind == 0, F.lower(m)).when(kind == 1, F.regexp_replace(m, r"(^|\.)0+(?=[0-9])", "$1")).otherwise(_digits(m))
+    return F.concat(kind.cast("string"), F.lit(":"), value)
 
 
-def base_spans(text: Column) -> Column:
-    """Array of (kind number, start, end, m) of all pattern spans, by kind, then start."""
-    none = F.expr("cast(array() as array<struct<kind:int,start:int,end:int,m:string>>)")
-    parts = []
+def _base(docs: DataFrame, context: int, files: int) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, text_key) of each document, and its pattern matches: row, kind, start, end, m, before, after."""
+    none = F.expr("cast(array() as array<struct<gap:int,m:string,before:string,after:string>>)")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    hits = [F.when(F.rlike(text, F.lit(_HINTS[k])), _matches(text, _PATTERNS[k], context)).otherwise(none) for k in KINDS[:4]]
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64(text).alias("text_key"), F.array(*hits).alias("hits"))
+    rows = materialize(rows, files=files)
+    each = rows.where(F.exists("hits", lambda h: F.size(h) > 0)).select("row", F.posexplode("hits").alias("kind", "h")).select("row", "kind", F.posexplode("h").alias("pos", "x"))
+    each = _placed(each, ["row", "kind"])
+    good = F.lit(False)
     for k, kind in enumerate(KINDS[:4]):
-        own = _numbered(F.filter(_found(text, _PATTERNS[kind]), _holder(kind)), k)
-        parts.append(F.when(F.rlike(text, F.lit(_HINTS[kind])), own).otherwise(none))
-    return F.concat(*parts)
-
+        good = F.when(F.col("kind") == k, _holds(kind, F.col("x.m"))).otherwise(good)
+    found = materialize(each.where(good).select("row", "kind", "start", "end", "x.m", "x.before", "x.after"), files=files)
+    return rows.select("row", "doc_id", "text_key"), found
 
-def find_private(docs: DataFrame, threshold: float = 0.9, context: int = CONTEXT) -> DataFrame:
-    """One row per document: doc_id, text_key, and spans, an array of (kind, start, end).
 
-    Kinds are numbers into KINDS; spans are sorted by kind, then start, in code
-    points, end exclusive. Term spans never overlap a pattern's span. Null and
-    empty texts have none; repeated rows are searched each and count each;
-    other columns are not read. Counts are over all documents.
-    """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_key"), text.alias("text"))
-    rows = rows.withColumn("base", base_spans(F.col("text")))
-
-    def around(x):
-        a = F.greatest(F.lit(0), x["start"] - context)
-        before = F.substring(F.col("text"), a + 1, x["start"] - a)
-        after = F.substring(F.col("text"), x["end"] + 1, F.lit(context))
-        return F.struct(F.concat(x["kind"].cast("string"), F.lit(":"), F.lower(x["m"])).alias("entity"), a.alias("a"), before.alias("before"), x["end"].alias("b"), after.alias("after"))
-
-    rows = rows.select("row", "doc_id", "text_key", F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("base"), F.transform("base", around).alias("near"))
-    rows = materialize(rows)
-    contexts = rows.select("row", F.explode("near").alias("c")).select("row", F.col("c.entity").alias("entity"), F.xxhash64("c.before", "c.after").alias("seen"), "c")
-    sides = contexts.select("row", "entity", "seen", F.explode(F.array(F.struct(F.col("c.a").alias("at"), F.col("c.before").alias("said")), F.struct(F.col("c.b").alias("at"), F.col("c.after").alias("said")))).alias("s"))
-    terms = sides.select("row", "entity", "seen", F.col("s.at").alias("at"), F.explode(_found(F.col("s.said"), TERM)).alias("t"))
-    terms = terms.select("row", "entity", "seen", F.lower("t.m").alias("term"), (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end"))
+def _told(docs: DataFrame, contexts: DataFrame, threshold: float) -> DataFrame:
+    """(entity, term) pairs in which the term discloses the entity."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(TERM), F.lit(0))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    words = materialize(words)
+    # Two sides at a time, so that no word runs from one into the other.
+    terms = contexts.select("entity", "seen", F.explode(F.array("before", "after")).alias("said")).select("entity", "seen", F.explode(F.regexp_extract_all(F.lower("said"), F.lit(TERM), F.lit(0))).alias("term"))
     joint = terms.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct"), F.min("seen").alias("s1"), F.max("seen").alias("s2"))
     joint = joint.where("s1 <> s2").drop("s1", "s2")
     entities = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(TERM), F.lit(0))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    words = materialize(words)
     joint = joint.join(entities, "entity").join(words, "term")
     total = words.agg(F.sum("n_t").cast("double").alias("n"))
     joint = joint.crossJoin(F.broadcast(total))  # one row
     gain = F.ln(F.col("n_ct") * F.col("n") / (F.col("n_c") * F.col("n_t")))
-    told = joint.where((F.col("n_c") < F.col("n")) & (gain >= F.lit(threshold) * F.ln(F.col("n") / F.col("n_c")))).select("entity", "term")
-    told = materialize(told)
-    extra = join_small(terms.select("row", "entity", "term", "start", "end"), told, ["entity", "term"])
-    extra = extra.groupBy("row").agg(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end")).alias("extra"))
-    out = rows.select("row", "doc_id", "text_key", "base").join(extra, "row", "left")
-    free = F.filter("extra", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    spans = F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.concat("base", F.array_sort(free)))
-    return out.select("doc_id", "text_key", "base", spans.alias("spans"))
+    told = materialize(joint.where((F.col("n_c") < F.col("n")) & (gain >= F.lit(threshold) * F.ln(F.col("n") / F.col("n_c")))).select("entity", "term"), files=1)
+    discard(words)
+    return told
+
+
+def _marked(docs: DataFrame, rows: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(row, extra): places of the wanted (row, term) in the whole texts, but those that overlap a pattern's span."""
+    held = wanted.groupBy("row").agg(F.collect_set("term").alias("terms")).join(rows, "row")
+    held = materialize(held, files=files_for(0, docs.sparkSession))
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).withColumn("k", F.xxhash64("text"))
+    texts = flagged(texts, "k", held, "text_key").where("__maybe").drop("__maybe").dropDuplicates(["id", "k"])
+    said = texts.join(held, (F.col("k") == F.col("text_key")) & F.col("id").eqNullSafe(F.col("doc_id"))).select("row", "terms", F.posexplode(_matches(F.col("text"), TERM)).alias("pos", "x"))
+    said = _placed(said, ["row"]).where(F.array_contains("terms", F.lower("x.m"))).select("row", "start", "end", F.lit(False).alias("base"))
+    both = said.unionByName(found.select("row", "start", "end", F.lit(True).alias("base")).join(held.select("row"), "row", "left_semi"))
+    by = Window.partitionBy("row").orderBy("start")
+    before = F.max(F.when(F.col("base"), F.col("end"))).over(by.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.min(F.when(F.col("base"), F.col("start"))).over(by.rangeBetween(0, Window.unboundedFollowing))
+    free = both.withColumns({"b": before, "a": after}).where(~F.col("base") & (F.coalesce("b", F.lit(0)) <= F.col("start")) & (F.col("a").isNull() | (F.col("a") >= F.col("end"))))
+    return free.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.lit(4).alias("kind"), "start", "end"))).alias("extra"))
+
+
+def find_private(docs: DataFrame, threshold: float = 0.9, context: int = CONTEXT) -> DataFrame:
+    """One row per document: doc_id, text_key, base and spans, arrays of (kind, start, end).
+
+    Kinds are numbers into KINDS; spans are sorted by kind, then start, in code
+    points, end exclusive. ``base`` has the patterns' spans, ``spans`` terms
+    too; those never overlap a pattern's span. Null and empty texts have none;
+    repeated rows are searched each and count each; texts are searched whole;
+    an empty table gives no rows; other columns are not read. Counts are over
+    all documents.
+    """
+    files = files_for(bytes_of(docs.select("doc_id", "text")), docs.sparkSession)
+    rows, found = _base(docs, context, files)
+    contexts = found.select("row", _canonical(F.col("kind"), F.col("m")).alias("entity"), F.xxhash64("before", "after").alias("seen"), "before", "after")
+    told = _told(docs, contexts, threshold)
+    wanted = join_small(contexts.select("row", "entity").distinct(), told, ["entity"]).select("row", "term").distinct()
+    extra = _marked(docs, rows, found, wanted)
+    base = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("base"))
+    out = rows.join(base, "row", "left").join(extra, "row", "left")
+    none = F.expr("cast(array() as array<struct<kind:int,start:int,end:int>>)")
+    return out.select("doc_id", "text_key", F.coalesce("base", none).alias("base"), F.concat(F.coalesce("base", none), F.coalesce("extra", none)).alias("spans"))
 
 
 def count_kind(spans: Column, k: int) -> Column:
@@ -150,18 +189,26 @@ def sanitise(docs: DataFrame, threshold: float = 0.9, generalise: bool = True) -
     """``docs`` with every span generalised to its kind in angle brackets, or removed.
 
     Overlapping spans are taken as one, under the kind of the first. Texts
-    without spans stay as they are, null ones too.
+    without spans stay as they are, null ones too; so do other columns; names
+    that begin with ``__`` are not for use.
     """
     found = find_private(docs, threshold).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__k"), "spans").dropDuplicates(["__id", "__k"])
-    order = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    each = found.select("__id", "__k", F.explode("spans").alias("x")).select("__id", "__k", "x.*")
+    own = Window.partitionBy("__k", "__id").orderBy("start", "end", "kind")
+    each = each.withColumn("head", F.when(F.col("start") >= F.coalesce(F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), 1).otherwise(0))
+    each = each.withColumn("part", F.sum("head").over(own)).groupBy("__id", "__k", "part").agg(F.min(F.struct("start", "end", "kind")).alias("f"), F.max("end").alias("end"))
+    merged = each.groupBy("__id", "__k").agg(F.array_sort(F.collect_list(F.struct("f.start", "end", "f.kind"))).alias("__spans"))
     names = F.array(*[F.lit(f"<{k}>" if generalise else "") for k in KINDS])
-    begin = F.expr("named_struct('at', 0, 'out', '')")
-
-    def step(acc, x):
-        gap = F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"])
-        return F.when(x["start"] < acc["at"], F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(x["end"].alias("at"), F.concat(acc["out"], gap, F.get(names, x["kind"])).alias("out")))
-
-    clean = F.aggregate(order, begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    out = keyed.join(found, (F.col("__key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    return out.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    wide = F.encode(text, "UTF-32")  # a place in it is found without counting from the start
+
+    def piece(x, k, w):
+        at = F.coalesce(F.get(F.col("__spans"), k - 1)["end"], F.lit(0))
+        return F.concat(F.decode(F.substring(w, 4 * at + 1, 4 * (x["start"] - at)), "UTF-32"), F.get(names, x["kind"]))
+
+    last = F.element_at("__spans", -1)["end"]
+    tail = F.decode(F.substring(wide, 4 * last + 1, 4 * F.length(text)), "UTF-32")
+    clean = F.concat(let(wide, lambda w: F.array_join(F.transform("__spans", lambda x, k: piece(x, k, w)), "")), tail)
+    keyed = docs.withColumn("__key", F.xxhash64(text))
+    out = keyed.join(merged, (F.col("__key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    return out.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)

@@ -139,27 +139,45 @@ def unigram(train, texts):
     return n, [(len(w), sum(count[x] > 0 for x in w), sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w)) for w in ([*tokens(t), None] for t in texts)]
 
 
+def canonical(kind, m):
+    if kind == "email":
+        return kind, m.lower()
+    if kind == "ip":
+        return kind, ".".join(p.lstrip("0") or "0" for p in m.split("."))
+    return kind, "".join(c for c in m if c in "0123456789")
+
+
 def disclosing_terms(docs, threshold=0.9, context=80):
-    """{row: {(start, end)}} of terms that tell an entity near them, by corpus counts."""
-    term = re.compile(r"[^\W\d_]{4,}")
-    joint, near, sides, n_c = Counter(), {}, [], Counter()
+    """{row: {(start, end)}} of terms that tell an entity near them, by corpus counts, wherever they stand in its documents."""
+    term = re.compile(r"[^\W\d_]\w+")
+    joint, near, n_c, holds = Counter(), {}, Counter(), {}
     for row, text in enumerate(docs):
-        for kind, a, b in (s.split(":") for s in personal(text)):
-            a, b = int(a), int(b)
-            entity = kind, text[a:b].lower()
-            parts = (max(0, a - context), text[max(0, a - context) : a]), (b, text[b : b + context])
-            n_c[entity] += 1
-            for at, said in parts:
-                for m in term.finditer(said):
-                    t = m[0].lower()
-                    joint[entity, t] += 1
-                    near.setdefault((entity, t), set()).add((parts[0][1], parts[1][1]))
-                    sides.append((row, entity, t, at + m.start(), at + m.end()))
+        good = set(personal(text))
+        for kind, rx in PII.items():
+            found = list(re.finditer(rx, text or ""))
+            edges = [0, *(e for m in found for e in m.span()), len(text or "")]
+            for k, m in enumerate(found):
+                if f"{kind}:{m.start()}:{m.end()}" not in good:
+                    continue
+                before, after = text[edges[2 * k] : m.start()], text[m.end() : edges[2 * k + 3]]
+                if len(before) > context:
+                    before = re.sub(r"^\w+", "", before[-context:])
+                if len(after) > context:
+                    after = re.sub(r"\w+$", "", after[:context])
+                entity = canonical(kind, m[0])
+                n_c[entity] += 1
+                holds.setdefault(row, set()).add(entity)
+                for said in (before, after):
+                    for t in term.findall(said.lower()):
+                        joint[entity, t] += 1
+                        near.setdefault((entity, t), set()).add((before, after))
     n_t = Counter(w for t in docs for w in term.findall((t or "").lower()))
     n = sum(n_t.values())
+    told = {(e, t) for (e, t), seen in near.items() if len(seen) > 1 and t in n_t and math.log(joint[e, t] * n / (n_c[e] * n_t[t])) >= threshold * math.log(n / n_c[e]) - 1e-12}
     out = {}
-    for row, entity, t, a, b in sides:
-        if len(near[entity, t]) > 1 and t in n_t and math.log(joint[entity, t] * n / (n_c[entity] * n_t[t])) >= threshold * math.log(n / n_c[entity]) - 1e-12:
-            if not any(int(x) < b and a < int(y) for _, x, y in (s.split(":") for s in personal(docs[row]))):
-                out.setdefault(row, set()).add((a, b))
+    for row, entities in holds.items():
+        base = [tuple(map(int, s.split(":")[1:])) for s in personal(docs[row])]
+        for m in term.finditer(docs[row]):
+            if any((e, m[0].lower()) in told for e in entities) and not any(x < m.end() and m.start() < y for x, y in base):
+                out.setdefault(row, set()).add(m.span())
     return out

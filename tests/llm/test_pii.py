@@ -67,6 +67,24 @@ def test_sanitise(frame):
     assert sorted((r.x, r.text) for r in sanitise(odd).collect()) == [(1, None), (2, "<email>"), (3, "<email>"), (4, "<ip>")]
 
 
+def test_names_of_any_length_are_marked_in_the_whole_document(frame):
+    filler = " ".join(f"common{chr(97 + k % 26)}" for k in range(400))
+    rows = [(i, f"Li wrote {i}. {filler} call Li_77 or 李明 on {p} today {i}") for i, p in enumerate(["+49 (30) 123 456 78", "+493012345678", "+49-30-12345678", "+49 30 12345678"])]
+    df = frame("doc_id long, text string", [*rows, (10, filler)])
+    for r in find_private(df).collect():
+        said = [rows[r.doc_id][1][s.start : s.end] for s in r.spans if s.kind == 4] if r.doc_id < 10 else []
+        assert r.doc_id == 10 or {"Li_77", "李明"} <= set(said) and "common" not in str(said)
+    assert "李明" not in "".join(r.text for r in sanitise(df).collect())
+
+
+def test_many_spans_in_one_text(frame):
+    text = " ".join(f"u{k}@mail.example" for k in range(100_000))
+    df = frame("doc_id long, text string", [(1, text), (2, "none")])
+    got = {r.doc_id: len(r.base) for r in find_private(df).collect()}
+    assert got == {1: 100_000, 2: 0}
+    assert {r.doc_id: r.text for r in sanitise(df).collect()} == {1: " ".join(["<email>"] * 100_000), 2: "none"}
+
+
 def test_empty_table(frame):
     assert find_private(frame("doc_id long, text string", [])).count() == 0
 
