@@ -119,7 +119,7 @@ def _base(docs: DataFrame, context: int, files: int) -> tuple[DataFrame, DataFra
     return rows.select("row", "doc_id", "text_key"), found
 
 
-def _told(docs: DataFrame, contexts: DataFrame, threshold: float) -> DataFrame:
+def _told(docs: DataFrame, contexts: DataFrame, threshold: float, files: int) -> DataFrame:
     """(entity, term) pairs in which the term discloses the entity."""
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(TERM), F.lit(0))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     words = materialize(words)
@@ -132,15 +132,15 @@ def _told(docs: DataFrame, contexts: DataFrame, threshold: float) -> DataFrame:
     total = words.agg(F.sum("n_t").cast("double").alias("n"))
     joint = joint.crossJoin(F.broadcast(total))  # one row
     gain = F.ln(F.col("n_ct") * F.col("n") / (F.col("n_c") * F.col("n_t")))
-    told = materialize(joint.where((F.col("n_c") < F.col("n")) & (gain >= F.lit(threshold) * F.ln(F.col("n") / F.col("n_c")))).select("entity", "term"), files=1)
+    told = materialize(joint.where((F.col("n_c") < F.col("n")) & (gain >= F.lit(threshold) * F.ln(F.col("n") / F.col("n_c")))).select("entity", "term"), files=files)
     discard(words)
     return told
 
 
-def _marked(docs: DataFrame, rows: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFrame:
+def _marked(docs: DataFrame, rows: DataFrame, found: DataFrame, wanted: DataFrame, files: int) -> DataFrame:
     """(row, extra): places of the wanted (row, term) in the whole texts, but those that overlap a pattern's span."""
     held = wanted.groupBy("row").agg(F.collect_set("term").alias("terms")).join(rows, "row")
-    held = materialize(held, files=files_for(0, docs.sparkSession))
+    held = materialize(held, files=files)
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).withColumn("k", F.xxhash64("text"))
     texts = flagged(texts, "k", held, "text_key").where("__maybe").drop("__maybe").dropDuplicates(["id", "k"])
     said = texts.join(held, (F.col("k") == F.col("text_key")) & F.col("id").eqNullSafe(F.col("doc_id"))).select("row", "terms", F.posexplode(_matches(F.col("text"), TERM)).alias("pos", "x"))
@@ -166,9 +166,9 @@ def find_private(docs: DataFrame, threshold: float = 0.9, context: int = CONTEXT
     files = files_for(bytes_of(docs.select("doc_id", "text")), docs.sparkSession)
     rows, found = _base(docs, context, files)
     contexts = found.select("row", _canonical(F.col("kind"), F.col("m")).alias("entity"), F.xxhash64("before", "after").alias("seen"), "before", "after")
-    told = _told(docs, contexts, threshold)
+    told = _told(docs, contexts, threshold, files)
     wanted = join_small(contexts.select("row", "entity").distinct(), told, ["entity"]).select("row", "term").distinct()
-    extra = _marked(docs, rows, found, wanted)
+    extra = _marked(docs, rows, found, wanted, files)
     base = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("base"))
     out = rows.join(base, "row", "left").join(extra, "row", "left")
     none = F.expr("cast(array() as array<struct<kind:int,start:int,end:int>>)")
