@@ -16,7 +16,6 @@ from .common import join_small
 #: Turns in a part of a conversation.
 PART_TURNS = 512
 _MESSAGE = "struct<content:string,tool_call_id:string,tool_calls:array<struct<id:string,name:string,arguments:variant>>>"
-_SCHEMA = "struct<required:array<string>,properties:map<string,struct<type:string>>,additionalProperties:boolean>"
 #: JSON Schema's types by the types of variant values.
 _TYPES = r"CASE WHEN t IN ('BIGINT') THEN array('integer', 'number') WHEN t IN ('DOUBLE', 'FLOAT') OR t LIKE 'DECIMAL%' THEN array('number') WHEN t = 'STRING' THEN array('string') WHEN t = 'BOOLEAN' THEN array('boolean') WHEN t LIKE 'ARRAY%' THEN array('array') WHEN t LIKE 'OBJECT%' THEN array('object') ELSE array('null') END"
 
@@ -32,19 +31,49 @@ def _calls(messages: DataFrame) -> DataFrame:
     return messages.where(F.size("calls") > 0).select("conv_id", "turn", F.posexplode("calls").alias("at", "call")).select("conv_id", "turn", "at", "call.*")
 
 
+def _accepts(c: str, levels: int, level: int = 0) -> str:
+    """SQL that holds ``c``, a struct of a value ``v``, its type ``t`` and its schema ``s``, against the schema, ``levels`` deep."""
+    number = f"({c}.t IN ('BIGINT', 'DOUBLE', 'FLOAT') OR {c}.t LIKE 'DECIMAL%')"
+    size, json = f"try_variant_get({c}.v, '$', 'double')", f"coalesce(to_json({c}.v), 'null')"
+    fields = f"if({c}.t LIKE 'OBJECT%', from_json(to_json({c}.v), 'map<string,variant>'), NULL)"
+    kinds = f"aggregate(array({c}.t), array(''), (acc, t) -> {_TYPES})"
+    wanted = f"coalesce(try_variant_get({c}.s, '$.type', 'array<string>'), array(try_variant_get({c}.s, '$.type', 'string')))"
+    rules = [
+        f"(try_variant_get({c}.s, '$.type') IS NULL OR arrays_overlap({kinds}, {wanted}))",
+        f"coalesce(exists(try_variant_get({c}.s, '$.enum', 'array<variant>'), e -> coalesce(to_json(e), 'null') = {json}), true)",
+        f"coalesce(to_json(try_variant_get({c}.s, '$.const')) = {json}, true)",
+        f"(NOT {number} OR (coalesce({size} >= try_variant_get({c}.s, '$.minimum', 'double'), true) AND coalesce({size} <= try_variant_get({c}.s, '$.maximum', 'double'), true)))",
+        f"coalesce(forall(try_variant_get({c}.s, '$.required', 'array<string>'), r -> map_contains_key({fields}, r)), true)",
+    ]
+    if level < levels:
+        d = f"c{level + 1}"
+        pair = "named_struct('v', {0}, 't', schema_of_variant({0}), 's', {1})".format
+        known = f"from_json(to_json(try_variant_get({c}.s, '$.properties')), 'map<string,variant>')"
+        own, every = f"coalesce({known}[e.key], try_variant_get({c}.s, '$.additionalProperties'))", f"try_variant_get({c}.s, '$.items')"
+        members = f"transform(map_entries({fields}), e -> {pair('e.value', own)})"
+        items = f"transform(try_variant_get({c}.v, '$', 'array<variant>'), e -> {pair('e', every)})"
+        rules.append(f"forall(CASE WHEN {c}.t LIKE 'OBJECT%' THEN {members} WHEN {c}.t LIKE 'ARRAY%' THEN {items} ELSE array() END, {d} -> {_accepts(d, levels, level + 1)})")
+    return f"CASE WHEN {c}.s IS NULL THEN true WHEN schema_of_variant({c}.s) = 'BOOLEAN' THEN variant_get({c}.s, '$', 'boolean') ELSE {' AND '.join(rules)} END"
+
+
+def _levels(schemas: DataFrame) -> int:
+    """How deep the objects of the schemas' JSON are nested at most."""
+    plain = F.regexp_replace(F.regexp_replace("parameters", r'"(?:[^"\\]++|\\.)*+"', ""), r"[^{}]", "")
+    depth = F.aggregate(F.split(plain, ""), F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")), lambda x, c: F.struct((x["at"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("at"), F.greatest(x["most"], x["at"] + F.when(c == "{", 1).otherwise(0)).alias("most")))
+    return schemas.agg(F.coalesce(F.max(depth["most"]), F.lit(0))).first()[0]
+
+
 def _judged(calls: DataFrame, schemas: DataFrame | None) -> DataFrame:
-    """Adds ``valid``: the tool is known, no required argument is missing, and the types are right."""
+    """Adds ``valid``: the tool is known, and its schema accepts the arguments, an object."""
     if schemas is None:
         return calls.withColumn("valid", F.col("name").isNotNull() & F.col("id").isNotNull())
-    s = schemas.select("name", F.from_json(F.col("parameters").cast("string"), _SCHEMA).alias("s")).where("name is not null").dropDuplicates(["name"])
-    known = join_small(calls, s, ["name"])
+    s = schemas.select("name", F.col("parameters").cast("string").alias("parameters")).where("name is not null").groupBy("name").agg(F.min("parameters").alias("parameters"))
+    levels = _levels(s)
+    s = s.withColumn("s", F.expr("try_parse_json(parameters)")).drop("parameters")
     unknown = calls.join(s.select("name"), "name", "left_anti").withColumn("valid", F.lit(False))
-    known = known.withColumn("given", F.expr("from_json(to_json(arguments), 'map<string,variant>')"))
-    kinds = F.expr(f"transform(map_entries(given), e -> named_struct('k', e.key, 't', aggregate(array(schema_of_variant(e.value)), array(''), (acc, t) -> {_TYPES})))")
-    known = known.withColumn("kinds", kinds)
-    whole = F.expr("given is not null and forall(coalesce(s.required, array()), r -> map_contains_key(given, r))")
-    typed = F.expr("forall(kinds, e -> coalesce(if(s.properties[e.k] is null, coalesce(s.additionalProperties, true), s.properties[e.k].type is null or array_contains(e.t, s.properties[e.k].type)), coalesce(s.additionalProperties, true)))")
-    known = known.withColumn("valid", F.coalesce(whole & typed, F.lit(False)) & F.col("id").isNotNull())
+    accepted = F.expr(f"forall(array(named_struct('v', arguments, 't', schema_of_variant(arguments), 's', s)), c0 -> {_accepts('c0', levels)})")
+    known = join_small(calls, s, ["name"])
+    known = known.withColumn("valid", F.coalesce(F.expr("schema_of_variant(arguments) LIKE 'OBJECT%'") & accepted, F.lit(False)) & F.col("id").isNotNull())
     return known.select(*unknown.columns).unionByName(unknown)
 
 
@@ -56,8 +85,14 @@ def format_chats(conversations: DataFrame, schemas: DataFrame | None = None) ->
     role, then content. ``json`` has sorted keys and no blanks; keys of null
     values are left out, and arguments are sorted at every depth. A result
     without a call of its identifier in the conversation is an orphan and
-    stays at its turn. An identifier used twice means its first call. Calls are
-    held against ``schemas`` (name, parameters: JSON Schema) when given.
+    stays at its turn. An identifier used twice means its first call.
+
+    Calls are held against ``schemas`` (name, parameters: JSON Schema) when
+    given, at every depth: ``type`` (one or a list), ``enum``, ``const``,
+    ``minimum``, ``maximum``, ``required``, ``properties``,
+    ``additionalProperties`` and ``items`` (boolean or a schema); other
+    keywords ask nothing, nor does a schema that is no JSON. Values are equal
+    when their canonical JSON is. Of schemas of one name the first by text counts.
 
     A conversation is cut into parts of PART_TURNS turns, so that a very long
     one is not gathered in one place; null turns come last, in part 0. Text

@@ -119,7 +119,8 @@ def join_small(left: DataFrame, small: DataFrame, on: list[str], salts: int = 64
     if small.count() <= BROADCAST_ROWS:
         return left.join(F.broadcast(small), on)
     salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).join(salted, [*on, "__salt"]).drop("__salt")
+    hashed = [c for c, kind in left.dtypes if "variant" not in kind and "map<" not in kind]
+    return left.withColumn("__salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")).join(salted, [*on, "__salt"]).drop("__salt")
 
 
 def flagged(df: DataFrame, key: str, members: DataFrame, member_key: str) -> DataFrame:

@@ -43,6 +43,58 @@ def test_arguments_are_held_against_schemas(frame):
     assert got == {**dict.fromkeys(range(len(good)), 0), **dict.fromkeys(range(len(good), len(good) + len(bad)), 1), 100: 0, 101: 1, 102: 1}
 
 
+NESTED = {
+    "type": "object",
+    "required": ["to"],
+    "properties": {
+        "to": {"type": "array", "items": {"type": "object", "required": ["{}"], "properties": {"{}": {"type": "string"}, "n": {"type": ["integer", "null"]}}, "additionalProperties": False}},
+        "unit": {"enum": ["C", "F", 3, None, {"b": 1, "a": [2]}]},
+        "mode": {"const": "x"},
+        "level": {"type": "number", "minimum": 0, "maximum": 1.5},
+        "any": True,
+        "never": False,
+    },
+    "additionalProperties": {"type": "boolean"},
+}
+
+
+def plain(v, s):
+    """Whether the schema accepts the value."""
+    if isinstance(s, bool):
+        return s
+    kinds = {dict: ["object"], list: ["array"], str: ["string"], bool: ["boolean"], int: ["integer", "number"], float: ["number"], type(None): ["null"]}[type(v)]
+    wanted = s.get("type", kinds)
+    same = lambda x: json.dumps(x, sort_keys=True) == json.dumps(v, sort_keys=True)
+    ok = bool(set(kinds) & set([wanted] if isinstance(wanted, str) else wanted))
+    ok &= not ("enum" in s and not any(map(same, s["enum"]))) and not ("const" in s and not same(s["const"]))
+    if "number" in kinds:
+        ok &= s.get("minimum", v) <= v <= s.get("maximum", v)
+    if isinstance(v, dict):
+        ok &= set(s.get("required", [])) <= set(v) and all(plain(x, s.get("properties", {}).get(k, s.get("additionalProperties", True))) for k, x in v.items())
+    if isinstance(v, list):
+        ok &= all(plain(x, s.get("items", True)) for x in v)
+    return ok
+
+
+def test_nested_schemas_as_a_plain_validator(frame):
+    to = [[], [{"{}": "a"}], [{"{}": "a", "n": None}, {"{}": "b", "n": 2}], [{"{}": 1}], [{"n": 1}], [{"{}": "a", "z": 1}], [{"{}": "a", "n": 1.5}], ["a"], {"{}": "a"}, None, [{"{}": "a"}, None]]
+    rest = [{}, {"unit": "C"}, {"unit": 3}, {"unit": None}, {"unit": {"a": [2], "b": 1}}, {"unit": "K"}, {"unit": {"a": [1], "b": 1}}, {"mode": "x"}, {"mode": "y"}, {"level": 0}, {"level": 1.5}, {"level": 1.75}, {"level": -1}, {"level": "1"}, {"any": [1, {"q": None}]}, {"never": 1}, {"other": True}, {"other": 1}]
+    args = [{"to": t} for t in to] + [{"to": [], **r} for r in rest] + rest[:3]
+    rows = [(k, 0, "assistant", call(("i", "nested", a))) for k, a in enumerate(args)]
+    tools = [("nested", json.dumps(NESTED)), ("nested", "~ later by text, so not taken"), ("broken", "no json")]
+    got = {k: r.n_invalid == 0 for (k, _), r in chats(frame, [*rows, (1000, 0, "assistant", call(("i", "broken", {"q": 1})))], tools).items()}
+    want = {k: plain(a, NESTED) for k, a in enumerate(args)}
+    assert got == {**want, 1000: True} and 8 < sum(want.values()) < len(want) - 8
+
+
+def test_many_schemas_are_joined_by_salts(frame, monkeypatch):
+    from tessara.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    got = chats(frame, [(1, 0, "assistant", call(("a", "add", {"x": 1}), ("b", "add", {"x": "1"}), ("c", "none", {})))], TOOLS)
+    assert got[1, 0].n_invalid == 2
+
+
 def test_odd_messages(frame):
     rows = [(None, None, None, None), (None, None, None, None), (2, 0, "assistant", "{bad"), (2, 0, "assistant", "{bad"), (3, 1, "user", '{"tool_calls":[]}'), (3, None, "user", "last"), (4, 0, "assistant", ""), (5, 0, "assistant", "ü\n\"" + "y" * 100_000), (6, 0, "tool", result("x")), (6, 1, "assistant", call(("x", "f", {}), ("x", "g", {}))), (6, 2, "tool", result("x"))]
     got = chats(frame, rows)
