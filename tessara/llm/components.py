@@ -10,23 +10,17 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-class Forest:
-    """Union-find over 0..n-1; the smallest member is the root."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def union(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member of the component of each of 0..n-1, by edges a-b; whole arrays at a time."""
+    root = np.arange(n)
+    while len(a):
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    return root
 
 
 def thinned(edges: DataFrame) -> DataFrame:
@@ -38,10 +32,7 @@ def thinned(edges: DataFrame) -> DataFrame:
                 continue
             u, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
             ids, both = np.unique(np.concatenate([u, v]), return_inverse=True)
-            forest = Forest(len(ids))
-            for a, b in zip(both[: len(u)].tolist(), both[len(u) :].tolist()):
-                forest.union(a, b)
-            root = np.array([forest.find(x) for x in range(len(ids))], np.int64)
+            root = roots(len(ids), both[: len(u)], both[len(u) :])
             move = np.flatnonzero(root != np.arange(len(ids)))
             yield pa.RecordBatch.from_arrays([pa.array(ids[root[move]]), pa.array(ids[move])], names=["u", "v"])
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize
-from .components import Forest, components
+from .components import components, roots
 
 BLOCK, TREE_SAMPLE, LEADING = 2048, 20_000, 8
 #: Axes after which a tile looks at what its pairs can still reach.
@@ -229,11 +229,8 @@ def _links(blocks: DataFrame, tiles: DataFrame, dims: int, axes: np.ndarray, kin
                 v, weight = (va, ca) if same else (np.concatenate([va, vb]), np.concatenate([ca, cb]))
                 j = j if same else j + len(va)
                 links = np.bincount(i, weight[j], len(v)) + np.bincount(j, weight[i], len(v))
-                forest = Forest(len(v))
-                for p, q in zip(i.tolist(), j.tolist()):
-                    forest.union(p, q)
                 some = np.flatnonzero(links > 0)
-                root = np.array([forest.find(x) for x in some.tolist()], np.int64)
+                root = roots(len(v), i, j)[some]
                 yield pa.RecordBatch.from_arrays([pa.array(v[some]), pa.array(links[some].astype(np.int64)), pa.array(v[root])], names=["v", "links", "u"])
 
     return rows.mapInArrow(run, "v bigint, links bigint, u bigint")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD_BYTES, flagged, hashed_words, materialize, mix, slices, windows
-from .components import Forest, components
+from .components import components, roots
 
 ROWS = 6
 #: Classes, and n-grams, of a block; a tile holds two blocks.
@@ -173,11 +173,8 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
         links = np.bincount(i, weight[j], len(v)) + np.bincount(j, weight[i], len(v))
         order = np.argsort(v, kind="stable")
         rank = np.argsort(order, kind="stable")
-        forest = Forest(len(v))
         near = np.bincount(i, minlength=len(v)) + np.bincount(j, minlength=len(v))
-        for a, b in zip(rank[i].tolist(), rank[j].tolist()):
-            forest.union(a, b)
-        root = v[order[np.array([forest.find(x) for x in rank], np.int64)]]
+        root = v[order[roots(len(v), rank[i], rank[j])[rank]]]
         some = near > 0
         return pa.RecordBatch.from_arrays([pa.array(v[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some])], names=["v", "links", "u"])
 
@@ -245,8 +242,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     rows = rows.select("group", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "v", "copies", "block", "grams", "n_blocks")
     found = materialize(_verify(rows, threshold), gather=True)
     links = found.groupBy("v").agg(F.sum("links").alias("links"))
-    roots = components(found.select("u", "v"))
-    own = classes.join(links, "v", "left").join(roots, "v", "left").select("v", "copies", "at", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "v").alias("root"))
+    reached = components(found.select("u", "v"))
+    own = classes.join(links, "v", "left").join(reached, "v", "left").select("v", "copies", "at", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "v").alias("root"))
     own = materialize(own)
     best = own.groupBy("root").agg(F.min("at").alias("best"))
     own = own.join(best, "root").select("v", (F.col("links") + F.col("copies") - 1).alias("links"), F.col("at.doc_id").alias("copy_id"), "best")
