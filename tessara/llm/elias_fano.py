@@ -8,8 +8,8 @@ import numpy as np
 
 #: Elements between two samples; the unit of decoding.
 STEP = 4096
-#: Counts are kept exactly up to EXACT, above it as the lower end of bins that grow by RATIO.
-EXACT, RATIO = 200, 1.3
+#: Counts are kept exactly up to EXACT, above it as the lower end of bins that grow by RATIO; the last begins at 10^13.
+EXACT, RATIO = 160, 1.3
 
 
 def quantise(counts: np.ndarray) -> np.ndarray:
@@ -79,17 +79,23 @@ class EliasFano:
             out[a:b] = self.decode(step)[places[a:b] - step * STEP]
         return out
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Places of ascending values; -1 where a value is not in the sequence."""
+    def find(self, values: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """Places of ascending values; -1 where a value is not in the sequence.
+
+        Each is looked for only from its place ``begin`` to before ``end``, when given; both ascend too.
+        """
         out = np.full(len(values), -1, np.int64)
         if not self.n:
             return out
-        step_of = np.searchsorted(self.first, values, "right") - 1
+        if begin is None or end is None:
+            begin, end = np.zeros(len(values), np.int64), np.full(len(values), self.n)
+        step_of = np.clip(np.searchsorted(self.first, values, "right") - 1, begin // STEP, (end - 1) // STEP)
         edges = np.searchsorted(step_of, np.arange(len(self.first) + 1))
         for step in np.flatnonzero(np.diff(edges)):
             a, b = edges[step], edges[step + 1]
             own = self.decode(step)
-            place = np.minimum(np.searchsorted(own, values[a:b]), len(own) - 1)
+            low, past = np.maximum(begin[a:b] - step * STEP, 0), np.minimum(end[a:b] - step * STEP, len(own))
+            place = np.clip(np.searchsorted(own, values[a:b]), low, past - 1)
             out[a:b] = np.where(own[place] == values[a:b], place + step * STEP, -1)
         return out
 
@@ -102,8 +108,9 @@ class Trie:
     """Contexts, pointers to their successors, and successors with quantised counts.
 
     A successor is kept relative to its context: the sequence of successors is
-    made monotone by adding the place of the context times the universe, so a
-    search goes to the context first and looks for its successor only there.
+    made monotone by adding the place of the context times the universe. A
+    search finds the context, reads where its successors begin and end from
+    two pointers, and looks for the successor between them only.
     """
 
     def __init__(self, contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, word_bits: int):
@@ -124,10 +131,15 @@ class Trie:
             return out
         new = np.ones(len(contexts), bool)
         new[1:] = contexts[1:] != contexts[:-1]
-        place = self.contexts.find(contexts[new])[np.cumsum(new) - 1]
-        known = np.flatnonzero(place >= 0)
-        relative = place[known].astype(np.uint64) << self.word_bits | words[known].astype(np.uint64)
-        at = self.words.find(relative)
+        place = self.contexts.find(contexts[new])
+        seen = place >= 0
+        begin, end = np.zeros((2, len(place)), np.int64)
+        begin[seen], end[seen] = (self.pointers.at(place[seen] + k) for k in range(2))
+        own = np.cumsum(new) - 1
+        known = np.flatnonzero(seen[own])
+        own = own[known]
+        relative = place[own].astype(np.uint64) << self.word_bits | words[known].astype(np.uint64)
+        at = self.words.find(relative, begin[own], end[own])
         found = at >= 0
         out[known[found]] = self.codes[at[found]]
         return out

@@ -268,8 +268,8 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.95, key: str =
         return rows.select(F.col("id").alias(key), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     found = materialize(found, gather=True)
     links = found.groupBy("v").agg(F.sum("links").alias("links"))
-    roots = components(found.select("u", "v"))
-    own = classes.select("v", "id", "copies").join(links, "v", "left").join(roots, "v", "left").select("v", "id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "v").alias("root"))
+    reached = components(found.select("u", "v"))
+    own = classes.select("v", "id", "copies").join(links, "v", "left").join(reached, "v", "left").select("v", "id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "v").alias("root"))
     own = materialize(own)
     best = own.groupBy("root").agg(F.min("id").alias("component_id"))
     own = own.join(best, "root").select("v", "n_links", "component_id")

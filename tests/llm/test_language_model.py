@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessara.llm import language_model as lm
-from tessara.llm.elias_fano import LEVELS, EliasFano, Trie, quantise
+from tessara.llm.elias_fano import EXACT, LEVELS, EliasFano, Trie, quantise
 from tessara.llm.queries import op8_language_model
 
 FOLDER = "/root/testdata/sf0.001"
@@ -48,13 +48,27 @@ def test_trie():
     own, c = t.successors(int(contexts[500]))
     assert (own == words[contexts == contexts[500]]).all() and (c == quantise(counts[contexts == contexts[500]])).all()
     assert len(t.successors(1 << 11)[0]) == 0
+    # The pointers decide where a successor is looked for: with those of the next context nothing is found.
+    pointers = t.pointers.at(np.arange(t.pointers.n))
+    t.pointers = EliasFano(np.append(pointers[1:], pointers[-1] + np.uint64(1)))
+    assert not t.codes_of(contexts[contexts < contexts[-1]], words[contexts < contexts[-1]]).any()
+
+
+def test_successors_of_one_context_over_many_steps():
+    words = np.unique(np.random.default_rng(4).integers(0, 1 << 30, 20_000, np.uint64))
+    contexts = np.where(np.arange(len(words)) < 9000, np.uint64(3), np.uint64(8))
+    order = np.lexsort((words, contexts))
+    t = Trie(contexts[order], words[order], np.ones(len(words)), 30)
+    for context in (3, 8):
+        own = words[contexts == context]
+        assert t.codes_of(np.full(len(words), context, np.uint64), words).tolist() == np.isin(words, own).astype(int).tolist()
 
 
 def test_quantised_counts_never_exceed_the_true_ones():
-    n = np.unique(np.geomspace(1, 1e8, 5000).astype(np.int64))
+    n = np.unique(np.geomspace(1, 1e13, 5000).astype(np.int64))
     got = LEVELS[quantise(n)]
-    assert (got <= n).all() and (got >= np.minimum(n / lm.LEVELS[201] * 200, n) - 1).all() or (got * 1.31 >= np.minimum(n, LEVELS[-1])).all()
-    assert (got[n <= 200] == n[n <= 200]).all()
+    assert (got <= n).all() and (got * 1.31 >= n).all() and LEVELS[-1] > 1e13
+    assert (got[n <= EXACT] == n[n <= EXACT]).all()
 
 
 @given(st.lists(st.integers(0, 2**64 - 1), max_size=50))
