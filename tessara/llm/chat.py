@@ -3,7 +3,9 @@
 An assistant message whose text is a JSON object with ``tool_calls`` makes
 calls: ``{"content": ..., "tool_calls": [{"id", "name", "arguments"}]}``, where
 the arguments are an object or its JSON text. A message of role ``tool`` whose
-text is ``{"tool_call_id": ..., "content": ...}`` is a result.
+text is ``{"tool_call_id": ..., "content": ...}`` is a result. A system message
+whose text is ``{"tools": [{"name", "parameters"}]}`` declares the tools of its
+conversation, each plain or as the ``function`` of an object.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from .common import join_small
 #: Turns in a part of a conversation.
 PART_TURNS = 512
 _MESSAGE = "struct<content:string,tool_call_id:string,tool_calls:array<struct<id:string,name:string,arguments:variant>>>"
+_TOOL = "name:string,parameters:variant"
 #: JSON Schema's types by the types of variant values.
 _TYPES = r"CASE WHEN t IN ('BIGINT') THEN array('integer', 'number') WHEN t IN ('DOUBLE', 'FLOAT') OR t LIKE 'DECIMAL%' THEN array('number') WHEN t = 'STRING' THEN array('string') WHEN t = 'BOOLEAN' THEN array('boolean') WHEN t LIKE 'ARRAY%' THEN array('array') WHEN t LIKE 'OBJECT%' THEN array('object') ELSE array('null') END"
 
@@ -27,6 +30,14 @@ def _messages(conversations: DataFrame) -> DataFrame:
     return m.select("conv_id", "turn", "role", F.when(F.col("calls").isNotNull() | F.col("result_of").isNotNull(), F.col("p.content")).otherwise(F.col("text")).alias("content"), F.expr("transform(calls, c -> named_struct('arguments', if(schema_of_variant(c.arguments) = 'STRING', coalesce(try_parse_json(variant_get(c.arguments, '$', 'string')), c.arguments), c.arguments), 'id', c.id, 'name', c.name))").alias("calls"), "result_of")
 
 
+def declared_tools(conversations: DataFrame) -> DataFrame:
+    """(conv_id, name, parameters) of the tools that system messages declare; a tool without parameters takes any object."""
+    m = conversations.select("conv_id", "role", F.col("text").cast("string").alias("text")).where("conv_id is not null and role = 'system' and startswith(ltrim(text), '{') and contains(text, '\"tools\"')")
+    m = m.select("conv_id", F.explode(F.from_json("text", f"struct<tools:array<struct<{_TOOL},function:struct<{_TOOL}>>>>")["tools"]).alias("t"))
+    schema = "coalesce(t.parameters, t.function.parameters)"
+    return m.select("conv_id", F.expr("coalesce(t.name, t.function.name)").alias("name"), F.expr(f"if({schema} is null, '{{}}', to_json({schema}))").alias("parameters"))
+
+
 def _calls(messages: DataFrame) -> DataFrame:
     return messages.where(F.size("calls") > 0).select("conv_id", "turn", F.posexplode("calls").alias("at", "call")).select("conv_id", "turn", "at", "call.*")
 
@@ -57,22 +68,30 @@ def _accepts(c: str, levels: int, level: int = 0) -> str:
 
 
 def _levels(schemas: DataFrame) -> int:
-    """How deep the objects of the schemas' JSON are nested at most."""
+    """How deep the objects of the schemas' JSON are nested at most; None without schemas."""
     plain = F.regexp_replace(F.regexp_replace("parameters", r'"(?:[^"\\]++|\\.)*+"', ""), r"[^{}]", "")
     depth = F.aggregate(F.split(plain, ""), F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")), lambda x, c: F.struct((x["at"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("at"), F.greatest(x["most"], x["at"] + F.when(c == "{", 1).otherwise(0)).alias("most")))
-    return schemas.agg(F.coalesce(F.max(depth["most"]), F.lit(0))).first()[0]
+    return schemas.agg(F.max(F.coalesce(depth["most"], F.lit(0)))).first()[0]
 
 
-def _judged(calls: DataFrame, schemas: DataFrame | None) -> DataFrame:
-    """Adds ``valid``: the tool is known, and its schema accepts the arguments, an object."""
-    if schemas is None:
-        return calls.withColumn("valid", F.col("name").isNotNull() & F.col("id").isNotNull())
-    s = schemas.select("name", F.col("parameters").cast("string").alias("parameters")).where("name is not null").groupBy("name").agg(F.min("parameters").alias("parameters"))
+def _judged(calls: DataFrame, schemas: DataFrame, own: bool) -> DataFrame:
+    """Adds ``valid``: the call has an id, the tool is known, and its schema accepts the arguments, an object.
+
+    With ``own`` schemas are those of their conv_id, and a call in a conversation without any needs a name and an id only.
+    """
+    keys, named = ["conv_id", "name"] if own else ["name"], F.col("name").isNotNull() & F.col("id").isNotNull()
+    s = schemas.select(*keys, F.col("parameters").cast("string").alias("parameters")).where("name is not null").groupBy(*keys).agg(F.min("parameters").alias("parameters"))
     levels = _levels(s)
+    if own and levels is None:
+        return calls.withColumn("valid", named)
+    levels = levels or 0
     s = s.withColumn("s", F.expr("try_parse_json(parameters)")).drop("parameters")
-    unknown = calls.join(s.select("name"), "name", "left_anti").withColumn("valid", F.lit(False))
+    unknown = calls.join(s.select(*keys), keys, "left_anti").withColumn("valid", F.lit(False))
+    if own:
+        declaring = s.groupBy("conv_id").agg(F.lit(True).alias("declares"))
+        unknown = unknown.join(declaring, "conv_id", "left").withColumn("valid", named & F.col("declares").isNull()).drop("declares")
     accepted = F.expr(f"forall(array(named_struct('v', arguments, 't', schema_of_variant(arguments), 's', s)), c0 -> {_accepts('c0', levels)})")
-    known = join_small(calls, s, ["name"])
+    known = join_small(calls, s, keys)
     known = known.withColumn("valid", F.coalesce(F.expr("schema_of_variant(arguments) LIKE 'OBJECT%'") & accepted, F.lit(False)) & F.col("id").isNotNull())
     return known.select(*unknown.columns).unionByName(unknown)
 
@@ -88,7 +107,9 @@ def format_chats(conversations: DataFrame, schemas: DataFrame | None = None) ->
     stays at its turn. An identifier used twice means its first call.
 
     Calls are held against ``schemas`` (name, parameters: JSON Schema) when
-    given, at every depth: ``type`` (one or a list), ``enum``, ``const``,
+    given; otherwise against the tools that their conversation declares in its
+    system messages, and where it declares none (or has no id), a call needs a
+    name and an id only. Schemas count at every depth: ``type`` (one or a list), ``enum``, ``const``,
     ``minimum``, ``maximum``, ``required``, ``properties``,
     ``additionalProperties`` and ``items`` (boolean or a schema); other
     keywords ask nothing, nor does a schema that is no JSON. Values are equal
@@ -118,7 +139,7 @@ def format_chats(conversations: DataFrame, schemas: DataFrame | None = None) ->
         F.count_if("orphan").alias("n_orphans"),
         F.array_join(F.transform(F.array_sort(F.collect_list("m")), lambda x: x["json"]), ",").alias("said"),
     )
-    bad = _judged(calls, schemas).where(~F.col("valid")).groupBy(F.col("conv_id").alias("c"), F.coalesce(F.expr(f"turn div {PART_TURNS}"), F.lit(0)).cast("bigint").alias("p")).agg(F.count(F.lit(1)).alias("n_invalid"))
+    bad = _judged(calls, declared_tools(conversations) if schemas is None else schemas, schemas is None).where(~F.col("valid")).groupBy(F.col("conv_id").alias("c"), F.coalesce(F.expr(f"turn div {PART_TURNS}"), F.lit(0)).cast("bigint").alias("p")).agg(F.count(F.lit(1)).alias("n_invalid"))
     out = out.join(bad, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left")
     text = F.concat(F.lit('{"conv_id":'), F.coalesce(F.to_json(F.struct(F.col("conv_id").alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("conv_id").alias("x")))) - 6), F.lit("")), F.lit(',"messages":['), F.col("said"), F.lit('],"part":'), F.col("part").cast("string"), F.lit("}"))
     text = F.when(F.col("conv_id").isNull(), F.concat(F.lit('{"messages":['), F.col("said"), F.lit('],"part":'), F.col("part").cast("string"), F.lit("}"))).otherwise(text)

@@ -43,6 +43,23 @@ def test_arguments_are_held_against_schemas(frame):
     assert got == {**dict.fromkeys(range(len(good)), 0), **dict.fromkeys(range(len(good), len(good) + len(bad)), 1), 100: 0, 101: 1, 102: 1}
 
 
+def test_conversations_declare_their_tools(frame):
+    def tools(*listed):
+        return json.dumps({"tools": list(listed)})
+
+    f, g = {"name": "f", "parameters": {"type": "object", "required": ["x"], "properties": {"x": {"type": "integer"}}}}, {"type": "function", "function": {"name": "g", "parameters": {"properties": {"y": {"enum": [1, 2]}}}}}
+    rows = [(1, 0, "system", tools(f, g)), (1, 1, "assistant", call(("a", "f", {"x": 1}), ("b", "f", {"x": "1"}), ("c", "g", {"y": 2}), ("d", "g", {"y": 3}), ("e", "h", {})))]
+    rows += [(2, 0, "system", "be kind"), (2, 1, "assistant", call(("a", "f", {"x": "1"}), (None, "f", {}), ("c", None, {})))]
+    rows += [(3, 0, "system", tools({"name": "f"})), (3, 1, "system", '{"tools": 1}'), (3, 2, "assistant", call(("a", "f", {"x": "1"}), ("b", "f", [1])))]
+    rows += [(4, 0, "system", tools()), (4, 1, "user", tools(f)), (4, 2, "assistant", call(("a", "f", {})))]
+    rows += [(None, 0, "system", tools(f)), (None, 1, "assistant", call(("a", "f", {}))), (5, None, "system", None), (5, None, "system", tools({}, {"name": None}))]
+    got = {k: (r.n_calls, r.n_invalid) for (k, _), r in chats(frame, rows).items()}
+    assert got == {1: (5, 3), 2: (3, 2), 3: (2, 1), 4: (1, 0), None: (1, 0), 5: (0, 0)}
+    given = {k: r.n_invalid for (k, _), r in chats(frame, rows, [("f", "{}")]).items()}
+    assert given == {1: 3, 2: 2, 3: 1, 4: 0, None: 0, 5: 0}
+    assert {r.n_invalid for r in chats(frame, rows, []).values()} == {5, 3, 2, 1, 0}
+
+
 NESTED = {
     "type": "object",
     "required": ["to"],
